@@ -6,6 +6,7 @@ Nothing here sets cluster-wide configuration; a session made elsewhere is used a
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,7 @@ def local_session(cpus: int = 8, app: str = "quillgraph") -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; ``sf_dir`` holds a parquet file or folder for each."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,3 +55,17 @@ def cut(df: DataFrame) -> DataFrame:
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions of the session, the unit in which Python stages are spread out."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package for their Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="quillgraph-"), "quillgraph-src")
+    sc.addPyFile(shutil.make_archive(base, "zip", root, "quillgraph"))
+    _shipped.add(sc.applicationId)
