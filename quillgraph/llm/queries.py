@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .cooccurrence import item_pairs
+from .names import same_names, same_pairs
 
 P5_SUPPORT, P5_LIFT = 5, 7.3
 
@@ -27,7 +28,17 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id_a", "id_b", "n_ab", "n_a", "n_b", "n_records", _six("lift"), _six("conviction"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of entity records, and of an unresolved mention and a record, that mean the same person or organisation."""
+    return same_pairs(same_names(table(spark, sf_dir, "entities"), table(spark, sf_dir, "links")))
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every person and organisation record and unresolved mention with the class it belongs to."""
+    return same_names(table(spark, sf_dir, "entities"), table(spark, sf_dir, "links"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p5_found": p5_found, "p5_pairs": p5_pairs}
 
 _P5 = """
 WITH b AS (SELECT DISTINCT document_id AS r, canonical_id AS i FROM links WHERE document_id IS NOT NULL AND canonical_id IS NOT NULL),
