@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .cooccurrence import item_pairs
 from .names import same_names, same_pairs
+from .vectors import entity_vectors, neighbours, sentence_vectors
 
 P5_SUPPORT, P5_LIFT = 5, 7.3
 
@@ -38,7 +39,23 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_names(table(spark, sf_dir, "entities"), table(spark, sf_dir, "links"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p5_found": p5_found, "p5_pairs": p5_pairs}
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ents = neighbours(entity_vectors(table(spark, sf_dir, "entities")))
+    sents = neighbours(sentence_vectors(table(spark, sf_dir, "document_records")))
+    return ents.withColumn("collection", F.lit("entities")).unionByName(sents.withColumn("collection", F.lit("sentences")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of which one has the other among its 5 most similar, with cosine 0.85 or more."""
+    return _near(spark, sf_dir).select(F.least("key", "neighbour").alias("key_a"), F.greatest("key", "neighbour").alias("key_b")).distinct()
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar others of every vector, ranked, with their cosines."""
+    return _near(spark, sf_dir).select("collection", "key", "neighbour", "rank", _six("cosine"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pairs": p5_pairs}
 
 _P5 = """
 WITH b AS (SELECT DISTINCT document_id AS r, canonical_id AS i FROM links WHERE document_id IS NOT NULL AND canonical_id IS NOT NULL),
