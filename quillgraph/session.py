@@ -69,3 +69,9 @@ def ship(spark: SparkSession) -> None:
     base = os.path.join(tempfile.mkdtemp(prefix="quillgraph-"), "quillgraph-src")
     sc.addPyFile(shutil.make_archive(base, "zip", root, "quillgraph"))
     _shipped.add(sc.applicationId)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows over at least as many partitions as there are cores, for stages of heavy work per row; a no-op on input of many splits."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(max(want, parts(df.sparkSession)), *by)
