@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .cooccurrence import item_pairs
+from .leaks import context_sentences, leaked
 from .names import same_names, same_pairs
 from .vectors import entity_vectors, neighbours, sentence_vectors
 
@@ -55,7 +56,12 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).select("collection", "key", "neighbour", "rank", _six("cosine"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pairs": p5_pairs}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a context sentence, with the items it belongs to."""
+    return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", context_sentences(table(spark, sf_dir, "qa")))
+
+
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_found": p7_found}
 
 _P5 = """
 WITH b AS (SELECT DISTINCT document_id AS r, canonical_id AS i FROM links WHERE document_id IS NOT NULL AND canonical_id IS NOT NULL),
