@@ -9,6 +9,7 @@ from ..session import table
 from .cooccurrence import item_pairs
 from .leaks import context_sentences, leaked
 from .names import same_names, same_pairs
+from .spam import page_scores
 from .vectors import entity_vectors, neighbours, sentence_vectors
 
 P5_SUPPORT, P5_LIFT = 5, 7.3
@@ -61,7 +62,17 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", context_sentences(table(spark, sf_dir, "qa")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of whose characters more than half are repeated keywords, link lists or product tags."""
+    return page_scores(table(spark, sf_dir, "documents")).where("is_spam").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters and spam characters of every document with text."""
+    return page_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores}
 
 _P5 = """
 WITH b AS (SELECT DISTINCT document_id AS r, canonical_id AS i FROM links WHERE document_id IS NOT NULL AND canonical_id IS NOT NULL),
