@@ -45,7 +45,7 @@ BLOCK_WORDS = 2_000_000
 #: Weighted share of words that two candidate windows must have in common.
 SHINGLE_SHARE = 0.7
 
-_MARKUP = re.compile(r"<[^<>]{1,200}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});|\[\d{1,4}\]|\]\([^()\s]{1,300}\)|[­​-‏⁠﻿]")
+_MARKUP = re.compile(r"<[^<>]{1,200}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});|\[\d{1,4}\]|\]\([^()\s]{1,300}\)|[\u00ad\u200b-\u200f\u2060\ufeff]")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑]\s*\n?\s*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 _SPELLED = re.compile("ae|oe|ue")
@@ -53,7 +53,7 @@ _SPELLED = re.compile("ae|oe|ue")
 
 def words(text: str) -> list[str]:
     """Comparable words of a text."""
-    t = _HYPHEN.sub("", _MARKUP.sub(lambda m: "" if m[0][0] in "­​‌‍‎‏⁠﻿" else " ", text))
+    t = _HYPHEN.sub("", _MARKUP.sub(lambda m: "" if m[0][0] in "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff" else " ", text))
     t = unicodedata.normalize("NFKD", t.casefold())
     t = "".join(c for c in t if not unicodedata.combining(c)) if not t.isascii() else t
     t = re.sub(r"(?<=\w)['’](?=\w)", "", t).replace("ø", "o").replace("æ", "a").replace("œ", "o")

@@ -9,6 +9,7 @@ from ..session import table
 from .cooccurrence import item_pairs
 from .leaks import context_sentences, leaked
 from .names import same_names, same_pairs
+from .sentences import sentence_units
 from .spam import page_scores
 from .vectors import entity_vectors, neighbours, sentence_vectors
 
@@ -31,6 +32,18 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id_a", "id_b", "n_ab", "n_a", "n_b", "n_records", _six("lift"), _six("conviction"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence units of every document as half-open code-point offsets."""
+    return sentence_units(table(spark, sf_dir, "documents")).select("doc_id", "char_start", "char_end")
+
+
+def p1_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the position of the unit in its text, and the text of the unit."""
+    docs = table(spark, sf_dir, "documents")
+    cut_out = F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    return sentence_units(docs).join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "sentence_index", "char_start", "char_end", cut_out.alias("text"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of entity records, and of an unresolved mention and a record, that mean the same person or organisation."""
     return same_pairs(same_names(table(spark, sf_dir, "entities"), table(spark, sf_dir, "links")))
@@ -72,7 +85,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p1_found": p1_found, "p1_sentences": p1_sentences, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores}
 
 _P5 = """
 WITH b AS (SELECT DISTINCT document_id AS r, canonical_id AS i FROM links WHERE document_id IS NOT NULL AND canonical_id IS NOT NULL),

@@ -102,7 +102,7 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for text in df["text"].tolist():
             rows = []
-            for k, line in enumerate(re.split(r"[\n\r  \x0b\x0c\x85]", text)):
+            for k, line in enumerate(re.split(r"[\n\r\u2028\u2029\x0b\x0c\x85]", text)):
                 if not line.strip():
                     continue
                 ids = []
