@@ -75,3 +75,11 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     """Rows over at least as many partitions as there are cores, for stages of heavy work per row; a no-op on input of many splits."""
     want = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(max(want, parts(df.sparkSession)), *by)
+
+
+def once_per(df: DataFrame, key: str) -> DataFrame:
+    """One row per key, where keys are meant to be unique: only ids are shuffled, and rows only of keys that do repeat."""
+    many = cut(df.groupBy(key).count().where("count > 1").select(key))
+    if many.isEmpty():
+        return df
+    return df.join(many, key, "left_anti").unionByName(df.join(many, key, "left_semi").dropDuplicates([key]))
