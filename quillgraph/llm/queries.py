@@ -9,6 +9,7 @@ from ..session import table
 from .cooccurrence import item_pairs
 from .leaks import context_sentences, leaked
 from .names import same_names, same_pairs
+from .packing import containers, packing_certificate, token_counts
 from .sentences import sentence_units
 from .spam import page_scores
 from .vectors import entity_vectors, neighbours, sentence_vectors
@@ -70,6 +71,17 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).select("collection", "key", "neighbour", "rank", _six("cosine"))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of 2,048 tokens of every text, and of every piece of a text above that."""
+    return containers(token_counts(table(spark, sf_dir, "documents")))
+
+
+def p6_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, against the lower bound over all items."""
+    df = packing_certificate(p6_containers(spark, sf_dir))
+    return df.select("items", "containers", "tokens", "lower_bound", "gap", _six("filled"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a context sentence, with the items it belongs to."""
     return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", context_sentences(table(spark, sf_dir, "qa")))
@@ -85,7 +97,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_sentences": p1_sentences, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p1_found": p1_found, "p1_sentences": p1_sentences, "p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_containers": p6_containers, "p6_certificate": p6_certificate, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores}
 
 _P5 = """
 WITH b AS (SELECT DISTINCT document_id AS r, canonical_id AS i FROM links WHERE document_id IS NOT NULL AND canonical_id IS NOT NULL),
