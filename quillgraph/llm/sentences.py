@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..session import spread
+from ..session import once_per, spread
 from .metricjoin import objects
 from .spam import list_like
 
@@ -415,6 +415,6 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def sentence_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, sentence_index, char_start, char_end) of every unit of every text."""
-    rows = docs.where(docs[doc_id].isNotNull() & docs[text].isNotNull()).select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).dropDuplicates(["doc_id", "text"])
+    rows = docs.where(docs[doc_id].isNotNull() & docs[text].isNotNull()).select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     typ = docs.schema[doc_id].dataType.simpleString()
-    return spread(rows).mapInPandas(_cut, f"doc_id {typ}, sentence_index int, char_start int, char_end int")
+    return spread(once_per(rows, "doc_id")).mapInPandas(_cut, f"doc_id {typ}, sentence_index int, char_start int, char_end int")
