@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, spread
+from ..session import cut, once_per, spread
 
 PMI_FLOOR = -4.0
 #: A line of at least MIN_PAIRS pairs with a lower mean is incoherent.
@@ -127,8 +127,8 @@ def _pairs(words: Column) -> Column:
 def line_scores(docs: DataFrame) -> DataFrame:
     """(doc_id, line, n, form, n_pairs, coherence, spam) of every line that is not blank."""
     typ = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.coalesce("document_id", F.concat(F.lit("#"), "doc_id")).alias("group"), "text").dropDuplicates(["doc_id"])
-    lined = cut(spread(texts).mapInPandas(_lines, f"doc_id {typ}, group string, lines {LINES}"))
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.coalesce("document_id", F.concat(F.lit("#"), "doc_id")).alias("group"), "text")
+    lined = cut(spread(once_per(texts, "doc_id")).mapInPandas(_lines, f"doc_id {typ}, group string, lines {LINES}"))
     first = lined.groupBy("group").agg(F.min("doc_id").alias("doc_id"))
     once = cut(lined.join(first.select("doc_id"), "doc_id", "left_semi").select("lines.words"))
     total = once.count()
