@@ -84,16 +84,15 @@ def object_key_slug(title: Column | str) -> Column:
     return F.concat(F.coalesce(F.nullif(F.regexp_replace(bare, r"^_+|_+$", ""), F.lit("")), F.lit("untitled")), F.lit(".txt"))
 
 
-def hash_bucket(token: Column | str, dim: int) -> Column:
-    """Bucket of a token: the first eight bytes of its SHA-256, big endian, modulo the width."""
-    head = F.substring(F.sha2(_col(token), 256), 1, 16)
-    return (F.conv(head, 16, 10).cast("decimal(20,0)") % F.lit(dim)).cast("int")
+def digest_bucket(digest: Column | str, dim: int) -> Column:
+    """Bucket of a token by its SHA-256 in hex: the first eight bytes, big endian, modulo the width, by halves of 32 bits."""
+    half = lambda at: F.conv(F.substring(_col(digest), at, 8), 16, 10).cast("bigint")
+    return ((half(1) * F.lit(2**32 % dim) + half(9)) % dim).cast("int")
 
 
-def hash_sign(token: Column | str) -> Column:
-    """+1 where the ninth byte of the token's SHA-256 is even, else -1."""
-    ninth = F.conv(F.substring(F.sha2(_col(token), 256), 17, 2), 16, 10).cast("int")
-    return F.when(ninth % 2 == 0, 1).otherwise(-1)
+def digest_sign(digest: Column | str) -> Column:
+    """+1 where the ninth byte of the digest is even, else -1: its last hex digit tells."""
+    return F.when(F.substring(_col(digest), 18, 1).isin(*"02468ace"), 1).otherwise(-1)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -56,30 +56,85 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return ok.select(F.explode(F.array(F.struct(F.col("subject_id").alias("a"), F.col("object_id").alias("b")), F.struct(F.col("object_id").alias("a"), F.col("subject_id").alias("b")))).alias("_x")).select("_x.*").distinct()
 
 
+WORD_BITS = 63
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(qid, word, bit): a bit for each question of the batch, which the caller states."""
+    n = F.row_number().over(Window.orderBy("qid")) - 1
+    return cut(rows.select("qid").distinct().select("qid", n.alias("_o")).select("qid", F.floor(F.col("_o") / WORD_BITS).cast("int").alias("word"), (F.col("_o") % WORD_BITS).cast("int").alias("bit")))
+
+
+def _bits(rows: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(qid, canonical_id) -> (canonical_id, word, bits)."""
+    return rows.join(numbered, "qid").groupBy("canonical_id", "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+
+
 def khop(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int) -> DataFrame:
     """(qid, canonical_id, depth): every node within ``hops`` undirected steps of a seed (qid, canonical_id), with its least depth.
 
-    Each step expands the frontier only, which is made distinct before the next join, so a hub is
-    expanded once per question however many paths reach it.
+    All questions of the batch walk together: a node carries one word of bits for 63 questions, a
+    step sends words along the edges and joins them with OR, and bits already seen are cleared. A
+    hub is expanded once for all questions, and a step costs edges x words, not edges x questions.
     """
     known = nodes.select("canonical_id").distinct()
-    reached = seeds.select("qid", "canonical_id").distinct().join(known, "canonical_id", "left_semi").select("qid", "canonical_id", F.lit(0).alias("depth"))
+    start = cut(seeds.select("qid", "canonical_id").distinct().join(known, "canonical_id", "left_semi"))
     if hops <= 0:
-        return reached
+        return start.select("qid", "canonical_id", F.lit(0).alias("depth"))
     near = cut(adjacency(edges))
-    reached = cut(reached)
+    numbered = _numbered(start)
+    seen = fresh = cut(_bits(start, numbered))
+    levels = fresh.withColumn("depth", F.lit(0))
     for d in range(1, hops + 1):
-        step = reached.where(F.col("depth") == d - 1).join(near, F.col("canonical_id") == F.col("a")).select("qid", F.col("b").alias("canonical_id")).distinct()
-        fresh = step.join(reached.select("qid", "canonical_id"), ["qid", "canonical_id"], "left_anti").withColumn("depth", F.lit(d))
-        reached = cut(reached.unionByName(fresh))
-    return reached
+        step = fresh.join(near, F.col("canonical_id") == F.col("a")).groupBy(F.col("b").alias("canonical_id"), "word").agg(F.bit_or("bits").alias("bits"))
+        old = seen.select("canonical_id", "word", F.col("bits").alias("_old"))
+        fresh = cut(step.join(old, ["canonical_id", "word"], "left").select("canonical_id", "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_old", F.lit(0).cast("bigint")))).alias("bits")).where("bits <> 0"))
+        levels = levels.unionByName(fresh.withColumn("depth", F.lit(d)))
+        if d < hops:
+            seen = cut(seen.unionByName(fresh).groupBy("canonical_id", "word").agg(F.bit_or("bits").alias("bits")))
+    return _per_question(levels, numbered).select("qid", "canonical_id", "depth")
+
+
+def _masks(reached: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The batch's numbered questions, and per node those that reached it: (canonical_id, mask map<int,bigint>)."""
+    numbered = _numbered(reached)
+    words = _bits(reached, numbered)
+    return numbered, words.groupBy("canonical_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("mask"))
+
+
+def _edge_words(edges: DataFrame, masks: DataFrame) -> DataFrame:
+    """Edges with (word, bits) rows of the questions that reached both ends."""
+    a, b = masks.select(F.col("canonical_id").alias("subject_id"), F.col("mask").alias("_ma")), masks.select(F.col("canonical_id").alias("object_id"), F.col("mask").alias("_mb"))
+    both = edges.join(a, "subject_id").join(b, "object_id")
+    common = F.filter(F.transform(F.map_keys("_ma"), lambda w: F.struct(w.alias("word"), F.col("_ma")[w].bitwiseAND(F.coalesce(F.col("_mb")[w], F.lit(0).cast("bigint"))).alias("bits"))), lambda x: x["bits"] != 0)
+    return both.withColumn("_w", F.explode(common)).select(*edges.columns, "_w.word", "_w.bits")
+
+
+def _per_question(df: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(…, word, bits) rows once per set bit, with the question."""
+    on = F.expr(f"filter(sequence(0, {WORD_BITS - 1}), i -> (shiftright(bits, i) & 1L) = 1L)")
+    return df.withColumn("bit", F.explode(on)).join(numbered, ["word", "bit"]).drop("word", "bit", "bits")
 
 
 def induced_edges(reached: DataFrame, edges: DataFrame) -> DataFrame:
     """(qid, edge…): edges of which both ends were reached by the question."""
-    a = reached.select("qid", F.col("canonical_id").alias("subject_id"))
-    b = reached.select("qid", F.col("canonical_id").alias("object_id"))
-    return edges.join(a, "subject_id").join(b, ["qid", "object_id"])
+    numbered, masks = _masks(reached)
+    return _per_question(_edge_words(edges, masks), numbered).select("qid", *edges.columns)
+
+
+def subgraph_sizes(reached: DataFrame, edges: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(qid, by…, edges, documents) of the induced subgraphs, without a row per question and edge.
+
+    Edges of equal mask are counted together, and documents are the union of their edges' masks;
+    questions are only told apart at the end, over distinct masks.
+    """
+    by = by or []
+    numbered, masks = _masks(reached)
+    rows = cut(_edge_words(edges.select("subject_id", "object_id", "source_doc_id", *by), masks).groupBy(*by, "source_doc_id", "word", "bits").agg(F.count(F.lit(1)).alias("n")))
+    n_edges = _per_question(rows.groupBy(*by, "word", "bits").agg(F.sum("n").alias("n")), numbered).groupBy("qid", *by).agg(F.sum("n").alias("edges"))
+    docs = rows.where("source_doc_id IS NOT NULL").groupBy(*by, "source_doc_id", "word").agg(F.bit_or("bits").alias("bits")).groupBy(*by, "word", "bits").agg(F.count(F.lit(1)).alias("d"))
+    n_docs = _per_question(docs, numbered).groupBy("qid", *by).agg(F.sum("d").alias("documents"))
+    return n_edges.join(n_docs, ["qid", *by], "left").select("qid", *by, "edges", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
 def incident_edges(ids: DataFrame, edges: DataFrame) -> DataFrame:

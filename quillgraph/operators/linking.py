@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import hash_bucket, hash_sign, mint_id, normalize_name
+from ..functions.scalar import digest_bucket, digest_sign, mint_id, normalize_name
 
 
 def doc_entities(mentions: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -82,8 +82,8 @@ def sparse_vectors(df: DataFrame, key: list[str], text: str, dim: int) -> DataFr
     """
     norm = normalize_name(text)
     toks = F.when(norm == "", F.array(F.when(F.col(text) == "", F.lit("\0")).otherwise(F.col(text)))).otherwise(F.split(norm, " "))
-    rows = df.where(F.col(text).isNotNull()).select(*key, F.length(text).alias("_len"), F.explode(toks).alias("_t"))
-    w = rows.groupBy(*key, "_len", hash_bucket("_t", dim).alias("bucket")).agg(F.sum(hash_sign("_t")).cast("int").alias("w"))
+    rows = df.where(F.col(text).isNotNull()).select(*key, F.length(text).alias("_len"), F.explode(toks).alias("_t")).withColumn("_h", F.sha2("_t", 256))
+    w = rows.select(*key, "_len", digest_bucket("_h", dim).alias("bucket"), digest_sign("_h").alias("_s")).groupBy(*key, "_len", "bucket").agg(F.sum("_s").cast("int").alias("w"))
     whole = w.groupBy(*key, "_len").agg(F.sum(F.col("w") * F.col("w")).alias("norm2"), F.collect_list(F.when(F.col("w") != 0, F.struct("bucket", "w"))).alias("_v"))
     fixed = whole.select(*key, F.greatest("norm2", F.lit(1)).alias("norm2"), F.when(F.col("norm2") == 0, F.array(F.struct((F.col("_len") % dim).cast("int").alias("bucket"), F.lit(1).alias("w")))).otherwise(F.col("_v")).alias("_v"))
     return fixed.select(*key, "norm2", F.explode("_v").alias("_x")).select(*key, F.col("_x.bucket").alias("bucket"), F.col("_x.w").alias("w"), "norm2")

@@ -56,6 +56,7 @@ class Retrieved:
 
     seeds: DataFrame
     sentences: DataFrame
+    edges: DataFrame
     subgraph_nodes: DataFrame
     subgraph_edges: DataFrame
     ranked: DataFrame
@@ -74,6 +75,7 @@ def retrieve(questions: DataFrame, entities: DataFrame, nodes: DataFrame, edges:
     seeds = cut(sparse_knn(q, e, settings.seed_top_k_entities, [F.col("canonical_id")], ["canonical_id"]))
     s = sparse_vectors(sentences.select("document_id", "sentence_index", "text"), ["document_id", "sentence_index"], "text", d)
     top = sparse_knn(q, s, settings.seed_top_k_sentences, [F.col("document_id"), F.col("sentence_index")], ["document_id", "sentence_index"])
-    reached = khop(seeds, edges, nodes, settings.khop_depth)
+    edges = cut(edges)
+    reached = cut(khop(seeds, edges, nodes, settings.khop_depth))
     ranked = rank_nodes(reached, seeds, nodes, settings)
-    return Retrieved(seeds, top, reached, induced_edges(reached, edges), ranked, select_answer(questions, ranked))
+    return Retrieved(seeds, top, edges, reached, induced_edges(reached, edges), ranked, select_answer(questions, ranked))

@@ -194,7 +194,14 @@ def khop_nodes(spark, sf):
 
 def khop_edges(spark, sf):
     reached = G.khop(seeds(spark, sf), graph_edges(spark, sf), all_nodes(spark, sf), 1)
-    return G.induced_edges(reached, graph_edges(spark, sf)).groupBy("qid", "predicate").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("source_doc_id").alias("documents"))
+    return G.subgraph_sizes(reached, graph_edges(spark, sf), ["predicate"])
+
+
+def induced_edges(spark, sf):
+    """The edges themselves between the direct neighbours of each curated entity, by their place in the text."""
+    reached = G.khop(seeds(spark, sf), graph_edges(spark, sf), all_nodes(spark, sf), 0)
+    pairs = reached.unionByName(reached.withColumn("qid", F.lit("all curated"))).select("qid", "canonical_id").distinct()
+    return G.induced_edges(pairs, graph_edges(spark, sf)).select("qid", "subject_id", "predicate", "object_id", "source_doc_id", "sentence_index").distinct()
 
 
 def incident_edges(spark, sf):
@@ -259,7 +266,8 @@ def knn_sentences(spark, sf):
 
 def _retrieved(spark, sf):
     n = all_nodes(spark, sf)
-    return R.retrieve(_questions(spark, sf), n, n, graph_edges(spark, sf), table(spark, sf, "sentences"))
+    e = graph_edges(spark, sf).select("subject_id", "predicate", "object_id", "source_doc_id", "sentence_index")
+    return R.retrieve(_questions(spark, sf), n, n, e, table(spark, sf, "sentences"))
 
 
 def seed_entities(spark, sf):
@@ -282,7 +290,7 @@ def retrieve(spark, sf):
     """Flagship: per question the answer, the size of its subgraph and its best supporting sentence."""
     r = _retrieved(spark, sf)
     nodes = r.subgraph_nodes.groupBy("qid").agg(F.count(F.lit(1)).alias("nodes"))
-    edges = r.subgraph_edges.groupBy("qid").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("source_doc_id").alias("documents"))
+    edges = G.subgraph_sizes(r.subgraph_nodes, r.edges)
     best = r.sentences.where("rank = 1").select("qid", F.col("document_id").alias("sentence_document"), "sentence_index")
     return r.answers.join(nodes, "qid", "left").join(edges, "qid", "left").join(best, "qid", "left").select("qid", "canonical_id", "answer", F.coalesce("nodes", F.lit(0)).alias("nodes"), F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("documents", F.lit(0)).alias("documents"), "sentence_document", "sentence_index")
 
@@ -409,7 +417,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_ids, normalize_names, normalize_answers, map_predicates, decode_replace, label_to_type, object_key_slugs, json_extract, sentences_heuristic, mentions_heuristic, doc_entities, mention_context, feature_hash, link_set_mode,
-        block_candidates, link_fold, graph_nodes, valid_edges, cooccurrence_edges, triples_validated, edges_replace_doc, khop_nodes, khop_edges, incident_edges, shortest_paths, edge_between, counts, knn_dense, knn_dense_typed, knn_sentences,
+        block_candidates, link_fold, graph_nodes, valid_edges, cooccurrence_edges, triples_validated, edges_replace_doc, khop_nodes, khop_edges, induced_edges, incident_edges, shortest_paths, edge_between, counts, knn_dense, knn_dense_typed, knn_sentences,
         seed_entities, rank_nodes, select_answers, retrieve, demo_endpoints, answer_scores, supporting_fact_scores, aggregate_metrics, subset_small, latest_upsert, sentence_vectors_merge, records_rebuild, prompt_build, triple_prompts, llm_cache_misses, qa_round_trip, stream_ingest,
     )
 }
@@ -565,6 +573,7 @@ a AS (SELECT source_doc_id, raw_predicate, predicate FROM edges WHERE source_doc
 SELECT source_doc_id, count(*) AS edges, count(raw_predicate) AS raw, count(DISTINCT predicate) AS predicates FROM a GROUP BY 1""",
     "khop_nodes": f"WITH {_GRAPH}, {_khop(_SEEDS, 2)} SELECT * FROM h2",
     "khop_edges": f"WITH {_GRAPH}, {_khop(_SEEDS, 1)} SELECT a.qid, predicate, count(*) AS edges, count(DISTINCT source_doc_id) AS documents FROM ge JOIN h1 a ON a.canonical_id = subject_id JOIN h1 b ON b.canonical_id = object_id AND b.qid = a.qid GROUP BY ALL",
+    "induced_edges": f"WITH {_GRAPH}, p AS (SELECT canonical_id AS qid, canonical_id FROM seed_entities UNION ALL SELECT 'all curated', canonical_id FROM seed_entities), r AS (SELECT * FROM p WHERE canonical_id IN (SELECT canonical_id FROM nodes)) SELECT DISTINCT a.qid, subject_id, predicate, object_id, source_doc_id, sentence_index FROM ge JOIN r a ON a.canonical_id = subject_id JOIN r b ON b.canonical_id = object_id AND a.qid = b.qid",
     "incident_edges": "SELECT s.canonical_id, predicate, count(*) AS edges FROM edges e JOIN seed_entities s ON s.canonical_id = e.subject_id OR s.canonical_id = e.object_id GROUP BY ALL",
     "shortest_paths": f"""WITH {_GRAPH}, src AS (SELECT min(canonical_id) AS s FROM seed_entities), p0 AS (SELECT s AS node, [s] AS path FROM src WHERE s IN (SELECT a FROM adj)),
 p1 AS (SELECT * FROM p0 UNION ALL SELECT b, min(list_append(path, b)) FROM p0 JOIN adj ON a = node WHERE b NOT IN (SELECT node FROM p0) GROUP BY b),
