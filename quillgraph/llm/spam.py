@@ -52,6 +52,7 @@ _LATIN = re.compile(rf"[^\W_{_SPACELESS}]+(?:[ऀ-ॿ]+)*")
 _LINK = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|[\w-]+(?:\.[\w-]+)*\.[a-z]{2,10}/\S*")
 _LEAD = re.compile(r"^\s*(?:[-*•»]|\d+[.)]|[^\W\d_]{3,9}:|#+)\s*")
 _SEPARATOR = re.compile(r'\s*(?:[|›»·•/,;!?।。！？、，；：:"“”«»()（）]+|\.(?=\s|$)|>>|\s{2,}|\s[-–—]\s|#)\s*')
+_WIDE_GAP, _ANY_GAP = re.compile(r"[ \xa0]{2,}"), re.compile(r"[ \xa0]+")
 _GAP = re.compile(rf"(?<=[{_SPACELESS}])\s+(?=[{_SPACELESS}])")
 #: Particles and endings without which a Chinese or Japanese stretch is no clause.
 _PARTICLE = re.compile("[了着过说吗呢吧はをがでとしれたてるすだ]")
@@ -74,6 +75,8 @@ def list_like(line: str) -> bool:
     if link > LINK_SHARE * len(bare):
         return True
     rest = _LINK.sub(" ", bare)
+    if 2 * len(_WIDE_GAP.findall(rest)) > len(_ANY_GAP.findall(rest)):
+        rest = _WIDE_GAP.sub(" ", rest)  # a text set with wide blanks throughout: they separate nothing
     phrases = [q for p in _SEPARATOR.split(_LEAD.sub("", rest)) if p for q in _GAP.split(p) if q.strip()]
     size = sum(map(len, phrases))
     if len(phrases) >= 3 and sum(len(p) for p in phrases if _short(p)) > LIST_SHARE * size:
