@@ -121,23 +121,30 @@ class Index:
 
 
 def holds(sent: np.ndarray, region: np.ndarray) -> bool:
-    """Whether the region holds a span of the sentence, 12 words or more, with one edit in six words at most."""
-    n = len(sent)
+    """Whether the region holds a span of the sentence, 12 words or more, with one edit in six words at most.
+
+    The span's first and last words stand in the region as they are: a borrowing of fewer words is
+    not made longer by calling its neighbours edits.
+    """
+    n, far = len(sent), 1 << 20
     starts = np.arange(n - MIN_WORDS + 1)
     if not len(starts) or not len(region):
         return False
     steps = np.arange(len(region) + 1)
-    row = np.zeros((len(starts), len(region) + 1), np.int32)
-    for length in range(1, n + 1):
+    row = np.full((len(starts), len(region) + 1), far, np.int32)
+    row[:, 1:][sent[starts][:, None] == region[None, :]] = 0  # spans begin at a word in place
+    row = np.minimum.accumulate(row - steps, axis=1) + steps
+    for length in range(2, n + 1):
         live = starts + length <= n
         w = sent[np.minimum(starts + length - 1, n - 1)]
-        new = row + 1
-        np.minimum(new[:, 1:], row[:, :-1] + (w[:, None] != region[None, :]), out=new[:, 1:])
-        row = np.minimum.accumulate(new - steps, axis=1) + steps
+        same = w[:, None] == region[None, :]
         if length >= MIN_WORDS:
-            best = row.min(1)
+            best = np.where(same, row[:, :-1], far).min(1)
             if (live & (best <= length // EDIT_EVERY)).any():
                 return True
+        new = row + 1
+        np.minimum(new[:, 1:], row[:, :-1] + ~same, out=new[:, 1:])
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
     return False
 
 
