@@ -39,6 +39,8 @@ MIN_PAIRS = 5
 DISTINCT_SHARE = 0.55
 MIN_REPEATED = 4
 LINK_SHARE = 0.4
+#: Words outside its links beyond which a line is no link line.
+LINK_WORDS = 6
 LIST_SHARE = 0.7
 SHORT_PHRASE = 4.5
 HOT_SHARE = 50
@@ -72,9 +74,9 @@ def list_like(line: str) -> bool:
     """Whether the form of a line alone makes it spam: links, short phrases between separators, repetition."""
     bare = line.strip()
     link = sum(len(m[0]) for m in _LINK.finditer(bare))
-    if link > LINK_SHARE * len(bare):
-        return True
     rest = _LINK.sub(" ", bare)
+    if link > LINK_SHARE * len(bare) and len(_RUN.findall(rest)) <= LINK_WORDS:
+        return True
     if 2 * len(_WIDE_GAP.findall(rest)) > len(_ANY_GAP.findall(rest)):
         rest = _WIDE_GAP.sub(" ", rest)  # a text set with wide blanks throughout: they separate nothing
     phrases = [q for p in _SEPARATOR.split(_LEAD.sub("", rest)) if p for q in _GAP.split(p) if q.strip()]
