@@ -5,9 +5,11 @@
    repeats a phrase a thousand times from vouching for it.
 2. The mean pointwise mutual information of a line's neighbouring pairs, leaving its own document
    out: a pair that no other document holds gets the floor.
-3. A line is spam if its pairs are incoherent on average (word salad, lists of names), if a few
-   collocations are repeated over and over, if it is a list of short phrases between separators, or
-   if most of it is links.
+3. A line whose pairs are incoherent on average (word salad, lists of names) is spam. A line is
+   suspect if its coherence is unlike that of sentences, low or so high that only fixed phrases
+   reach it, if it repeats collocations, or if it is too short to measure. A suspect line is spam if
+   its form confirms it: a few phrases over and over, or short phrases between separators. Lines of
+   links have no neighbouring words to measure and are told by their form.
 4. A document is spam when more than half of its characters, line ends aside, are in such lines.
 
 Words of spaceless scripts are their characters. The few pairs in more than 1/``HOT_SHARE`` of all
@@ -35,6 +37,8 @@ PMI_FLOOR = -4.0
 #: A line of at least MIN_PAIRS pairs with a lower mean is incoherent.
 INCOHERENT = -2.8
 MIN_PAIRS = 5
+#: Coherence outside these bounds, or a smaller share of different pairs, makes a line suspect.
+LOW, HIGH, DIFFERENT = -1.5, 2.9, 0.9
 #: Share of different words within 12 neighbouring ones below which a line repeats itself.
 DISTINCT_SHARE = 0.55
 MIN_REPEATED = 4
@@ -60,7 +64,7 @@ _GAP = re.compile(rf"(?<=[{_SPACELESS}])\s+(?=[{_SPACELESS}])")
 _PARTICLE = re.compile("[了着过说吗呢吧はをがでとしれたてるすだ]")
 _CJ_CHAR, _TH_CHAR = re.compile(f"[{_CJ}]"), re.compile(f"[{_TH}]")
 
-LINES = "array<struct<line:int,n:int,form:boolean,words:array<bigint>>>"
+LINES = "array<struct<line:int,n:int,form:int,words:array<bigint>>>"
 
 
 def _short(phrase: str) -> bool:
@@ -70,30 +74,35 @@ def _short(phrase: str) -> bool:
     return len(_LATIN.findall(phrase)) + c / 2 + len(_TH_CHAR.findall(phrase)) / 4 <= SHORT_PHRASE
 
 
-def list_like(line: str) -> bool:
-    """Whether the form of a line alone makes it spam: links, short phrases between separators, repetition."""
+def line_form(line: str) -> int:
+    """The form of a line: 2 for mostly links, 1 for short phrases between separators or a few words over and over, else 0."""
     bare = line.strip()
     link = sum(len(m[0]) for m in _LINK.finditer(bare))
     rest = _LINK.sub(" ", bare)
     if link > LINK_SHARE * len(bare) and len(_RUN.findall(rest)) <= LINK_WORDS:
-        return True
+        return 2
     if 2 * len(_WIDE_GAP.findall(rest)) > len(_ANY_GAP.findall(rest)):
         rest = _WIDE_GAP.sub(" ", rest)  # a text set with wide blanks throughout: they separate nothing
     phrases = [q for p in _SEPARATOR.split(_LEAD.sub("", rest)) if p for q in _GAP.split(p) if q.strip()]
     size = sum(map(len, phrases))
     if len(phrases) >= 3 and sum(len(p) for p in phrases if _short(p)) > LIST_SHARE * size:
-        return True
+        return 1
     w = [x for x in (m.lower() for m in _RUN.findall(rest)) if not x.isdigit()]
     if len(w) < MIN_REPEATED:
-        return False
+        return 0
     if len(w) <= 12:
-        return len(set(w)) < DISTINCT_SHARE * len(w)
+        return int(len(set(w)) < DISTINCT_SHARE * len(w))
     spans = range(0, len(w) - 11, 3)
-    return sum(len(set(w[i : i + 12])) for i in spans) < DISTINCT_SHARE * 12 * len(spans)
+    return int(sum(len(set(w[i : i + 12])) for i in spans) < DISTINCT_SHARE * 12 * len(spans))
+
+
+def list_like(line: str) -> bool:
+    return line_form(line) > 0
 
 
 def tokens(line: str) -> list[str]:
-    return _TOKEN.findall(_LINK.sub(" ", line.lower()))
+    """Words of a line; a number at the end of a word is no part of it."""
+    return [t.rstrip("0123456789") or t for t in _TOKEN.findall(_LINK.sub(" ", line.lower()))]
 
 
 def _hash(w: str) -> int:
@@ -118,7 +127,7 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             known.clear()
                         h = known[w] = _hash(w)
                     ids.append(h)
-                rows.append((k, len(line), list_like(line), ids))
+                rows.append((k, len(line), line_form(line), ids))
             out.append(rows)
         yield pd.DataFrame({"doc_id": df["doc_id"].tolist(), "group": pd.Series(df["group"].tolist(), dtype=object), "lines": pd.Series(out, dtype=object)})
 
@@ -159,10 +168,12 @@ def line_scores(docs: DataFrame) -> DataFrame:
     tagged = counted.join(F.broadcast(often), ["a", "b"], "left")
     hot = tagged.where("hot IS NOT NULL").select("doc_id", "line", "n", F.col("hot").alias("pmi"))
     cold = tagged.where("hot IS NULL").select("doc_id", "line", "n", "a", "b").join(rest, ["a", "b"], "left").select("doc_id", "line", "n", F.coalesce("pmi", F.lit(PMI_FLOOR)).alias("pmi"))
-    mean = hot.unionByName(cold).groupBy("doc_id", "line").agg(F.sum("n").alias("n_pairs"), (F.sum(F.col("n") * F.col("pmi")) / F.sum("n")).alias("coherence"))
+    mean = hot.unionByName(cold).groupBy("doc_id", "line").agg(F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_different"), (F.sum(F.col("n") * F.col("pmi")) / F.sum("n")).alias("coherence"))
     scored = lines.select("doc_id", "line", "n", "form").join(mean, ["doc_id", "line"], "left")
-    salad = F.coalesce((F.col("n_pairs") >= MIN_PAIRS) & (F.col("coherence") < INCOHERENT), F.lit(False))
-    return scored.select("doc_id", "line", "n", "form", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "coherence", (F.col("form") | salad).alias("spam"))
+    measured = F.coalesce(F.col("n_pairs"), F.lit(0)) >= MIN_PAIRS
+    salad = measured & (F.col("coherence") < INCOHERENT)
+    suspect = ~measured | (F.col("coherence") < LOW) | (F.col("coherence") > HIGH) | (F.col("n_different") < DIFFERENT * F.col("n_pairs"))
+    return scored.select("doc_id", "line", "n", "form", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "coherence", (salad | (F.col("form") == 2) | (suspect & (F.col("form") == 1))).alias("spam"))
 
 
 def page_scores(docs: DataFrame) -> DataFrame:
