@@ -27,6 +27,8 @@ from ..session import cut
 HASH_DIGIT_BITS = 12
 #: Cells into which a refinement round cuts the open interval of a key.
 VALUE_CELLS = 64
+#: Keys with at least 1/HOT_KEYS of all values, so HOT_KEYS at most, have their intervals sent to the executors.
+HOT_KEYS = 256
 
 
 def key_rows(df: DataFrame, subject: str = "subject_id", obj: str = "object_id", *carry: Column) -> DataFrame:
@@ -127,6 +129,7 @@ def key_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[f
         .select(*keys, "n", "_lo", "_hi", q.alias("q"))
         .withColumn("_rank", F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n"))).cast("long"))
     )
+    total = state.select(*keys, "n").distinct().agg(F.sum("n")).first()[0] or 0
     done = None
     for _ in range(max_rounds):
         state = cut(state)
@@ -137,8 +140,12 @@ def key_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[f
             return done
         # Intervals of one key are carried together, so that the large side joins once per key.
         nests = open_.groupBy(*keys).agg(F.collect_list(F.struct("q", "n", "_lo", "_hi", "_rank")).alias("_s"))  # at most len(qs) entries
+        # The values of a hot key stay where they are: its intervals come to them.
+        hot = nests.where(F.element_at("_s", 1)["n"] * HOT_KEYS >= total)
+        cold = base.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(nests.where(F.element_at("_s", 1)["n"] * HOT_KEYS < total), keys)
         hit = (
-            base.join(nests, keys)
+            base.join(F.broadcast(hot), keys)
+            .unionByName(cold)
             .select(*keys, "_v", "_n", F.explode("_s").alias("_i"))
             .where(F.col("_v").between(F.col("_i._lo"), F.col("_i._hi")))
             .select(*keys, "_v", "_n", "_i.*")

@@ -400,14 +400,12 @@ def stream_ingest(spark, sf):
     docs = table(spark, sf, "documents")
     ingest.publish(docs.select("bucket", "object_key", F.col("ingest_order").alias("seq")).repartition(4), f"{at}/triggers")
     objects = docs.select("bucket", "object_key", F.col("ingest_order").alias("seq"), "n_chars")
-    store = files_.KeyedTable(spark, f"{at}/table", ["document_id"], "document_id string, bucket string, object_key string, seq bigint, n_chars bigint")
+    store = files_.KeyedTable(spark, f"{at}/table", ["document_id"], "document_id string, bucket string, object_key string, seq bigint, n_chars bigint", "seq")
 
-    def handle(batch, _):
+    def handle(batch, number):
         last = batch.groupBy("bucket", "object_key").agg(F.max("seq").alias("seq"))
-        rows = last.join(objects, ["bucket", "object_key", "seq"]).select(S.document_id("bucket", "object_key").alias("document_id"), "bucket", "object_key", "seq", "n_chars")
-        old = store.read().select("document_id", F.col("seq").alias("_old"))
-        newer = rows.join(old, "document_id", "left").where("_old IS NULL OR _old < seq").drop("_old")
-        store.upsert(newer, ["seq"])
+        rows = last.join(objects, ["bucket", "object_key", "seq"])
+        store.upsert(rows.select(S.document_id("bucket", "object_key").alias("document_id"), "bucket", "object_key", "seq", "n_chars"), number)
 
     ingest.run_available(ingest.trigger_stream(spark, f"{at}/triggers", max_files=2), f"{at}/checkpoint", handle)
     return store.read().select("document_id", "seq", "n_chars")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -88,46 +86,63 @@ def attach_vectors(sentences: DataFrame, records: DataFrame) -> DataFrame:
 
 
 class KeyedTable:
-    """A parquet table with last-write-wins upserts by key.
+    """A parquet table with last-write-wins upserts by key, kept as a log.
 
-    An upsert writes a whole new snapshot beside the old one and then moves the pointer file, so a
-    reader sees the one or the other, and a job that is lost midway leaves the old one.
+    An upsert writes the batch's rows as one more part of the log, so it costs the batch, not the
+    table. A part counts once it is complete, which its committer marks; a batch that is written
+    again under its number replaces its part. Reading takes the row of greatest (order, part) per
+    key; ``compact`` writes that out as one part and drops the rest.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: list[str], schema: str):
-        self.spark, self.path, self.key, self.schema = spark, path, key, schema
+    def __init__(self, spark: SparkSession, path: str, key: list[str], schema: str, order: str):
+        self.spark, self.path, self.key, self.schema, self.order = spark, path, key, schema, order
+
+    def _hadoop(self):
+        make = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = make(self.path)
+        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), make, root
+
+    def parts(self) -> list[int]:
+        """Numbers of the complete parts."""
+        fs, make, root = self._hadoop()
+        if not fs.exists(root):
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(root)]
+        return sorted(int(n[5:]) for n in names if n.startswith("part=") and fs.exists(make(f"{self.path}/{n}/_SUCCESS")))
+
+    def log(self) -> DataFrame:
+        """Every row of every complete part, with ``part`` and ``deleted``."""
+        schema = self.schema + ", deleted boolean"
+        found = self.parts()
+        if not found:
+            return self.spark.createDataFrame([], schema + ", part int")
+        return self.spark.read.schema(schema + ", part int").option("basePath", self.path).parquet(*[f"{self.path}/part={n}" for n in found])
+
+    def read(self) -> DataFrame:
+        return latest(self.log(), self.key, [self.order, "part"]).where("NOT deleted").drop("deleted", "part")
 
-    def _fs(self):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
+    def _next(self) -> int:
+        """The next odd number; numbered batches have the even ones."""
+        last = max(self.parts(), default=-1)
+        return last + 1 + last % 2
 
-    def _current(self) -> str | None:
-        fs, path = self._fs()
-        at = path(f"{self.path}/_current")
-        if not fs.exists(at):
-            return None
-        return self.spark.read.text(f"{self.path}/_current").first()[0]
+    def _write(self, rows: DataFrame, batch: int | None) -> None:
+        part = self._next() if batch is None else 2 * batch
+        rows.write.mode("overwrite").parquet(f"{self.path}/part={part}")
 
-    def read(self) -> DataFrame:
-        at = self._current()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{at}") if at else self.spark.createDataFrame([], self.schema)
-
-    def replace(self, df: DataFrame) -> None:
-        fs, path = self._fs()
-        old, new = self._current(), f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{new}")
-        tmp = f"{self.path}/_next-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(new,)], "v string").coalesce(1).write.text(tmp)
-        fs.delete(path(f"{self.path}/_current"), True)
-        fs.rename(path(tmp), path(f"{self.path}/_current"))
-        if old:
-            fs.delete(path(f"{self.path}/{old}"), True)
-
-    def upsert(self, rows: DataFrame, order: list[Column | str]) -> None:
-        """New rows win over stored ones; among new rows of a key the greatest by ``order`` wins."""
-        new = latest(rows, self.key, order).select(*self.read().columns)
-        old = self.read()
-        self.replace(old.join(new.select(*self.key), self.key, "left_anti").unionByName(new))
+    def upsert(self, rows: DataFrame, batch: int | None = None) -> None:
+        names = StructType.fromDDL(self.schema).names
+        self._write(latest(rows.select(*names), self.key, [self.order]).withColumn("deleted", F.lit(False)), batch)
 
     def delete(self, keys: DataFrame, on: str) -> None:
-        self.replace(self.read().join(keys.select(on).distinct(), on, "left_anti"))
+        """Takes out the rows whose ``on`` is among the keys, as they are now."""
+        self._write(self.read().join(keys.select(on).distinct(), on, "left_semi").select(*StructType.fromDDL(self.schema).names).withColumn("deleted", F.lit(True)), None)
+
+    def compact(self) -> None:
+        old = self.parts()
+        if len(old) < 2:
+            return
+        self._write(self.read().withColumn("deleted", F.lit(False)), None)
+        fs, make, _ = self._hadoop()
+        for n in old:
+            fs.delete(make(f"{self.path}/part={n}"), True)

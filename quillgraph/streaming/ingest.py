@@ -40,10 +40,10 @@ def run_available(stream: DataFrame, checkpoint: str, handle: Callable[[DataFram
 
 
 def upsert_handler(table: KeyedTable, objects: DataFrame, build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """Per micro-batch: the latest trigger per object, its rows built and upserted; triggers without an object are dropped."""
+    """Per micro-batch: the latest trigger per object, its rows built and upserted under the batch's number; triggers without an object are dropped."""
 
-    def handle(batch: DataFrame, _: int) -> None:
+    def handle(batch: DataFrame, number: int) -> None:
         last = batch.groupBy("bucket", "object_key").agg(F.max("seq").alias("seq"))
-        table.upsert(build(last.join(objects, ["bucket", "object_key"])), ["seq"])
+        table.upsert(build(last.join(objects, ["bucket", "object_key"])), number)
 
     return handle

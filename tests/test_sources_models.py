@@ -47,20 +47,25 @@ def test_records(spark):
 
 
 def test_keyed_table_and_stream(spark, tmp_path):
-    t = files.KeyedTable(spark, str(tmp_path / "t"), ["k"], "k string, v int, seq bigint")
+    t = files.KeyedTable(spark, str(tmp_path / "t"), ["k"], "k string, v int, seq bigint", "seq")
     assert t.read().count() == 0
-    t.upsert(spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 1, 1)], t.schema), ["seq"])
-    t.upsert(spark.createDataFrame([("b", 9, 3)], t.schema), ["seq"])
+    t.upsert(spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 1, 1)], t.schema))
+    t.upsert(spark.createDataFrame([("b", 9, 3)], t.schema))
     assert sorted(map(tuple, t.read().collect())) == [("a", 2, 2), ("b", 9, 3)]
     t.delete(spark.createDataFrame([("a",)], "k string"), "k")
     assert [r.k for r in t.read().collect()] == ["b"]
+    t.compact()
+    assert [tuple(r) for r in t.read().collect()] == [("b", 9, 3)] and len(t.parts()) == 1
+    for _ in range(2):  # a batch and its replay
+        t.upsert(spark.createDataFrame([("a", 5, 1)], t.schema), 7)
+    assert sorted(map(tuple, t.read().collect())) == [("a", 5, 1), ("b", 9, 3)]
 
     src = str(tmp_path / "triggers")
     ingest.publish(spark.createDataFrame([("b", "x", 1), ("b", "x", 2), ("b", "gone", 1)], "bucket string, object_key string, seq bigint"), src)
     with open(f"{src}/bad.txt", "w") as f:
         f.write("not json\n{}\n")
     objects = spark.createDataFrame([("b", "x", "hello")], "bucket string, object_key string, text string")
-    store = files.KeyedTable(spark, str(tmp_path / "docs"), ["document_id"], "document_id string, text string, seq bigint")
+    store = files.KeyedTable(spark, str(tmp_path / "docs"), ["document_id"], "document_id string, text string, seq bigint", "seq")
     handle = ingest.upsert_handler(store, objects, lambda df: df.select(document_id("bucket", "object_key").alias("document_id"), "text", "seq"))
     for _ in range(2):  # a second run finds nothing new
         ingest.run_available(ingest.trigger_stream(spark, src, 1), str(tmp_path / "cp"), handle)
