@@ -8,8 +8,9 @@
 3. A line whose pairs are incoherent on average (word salad, lists of names) is spam. A line is
    suspect if its coherence is unlike that of sentences, low or so high that only fixed phrases
    reach it, if it repeats collocations, or if it is too short to measure. A suspect line is spam if
-   its form confirms it: a few phrases over and over, or short phrases between separators. Lines of
-   links have no neighbouring words to measure and are told by their form.
+   its form confirms it: a few phrases over and over, or short phrases between separators; or if
+   most of its collocations recur in its document while its coherence is unlike that of sentences or
+   cannot be measured. Lines of links have no neighbouring words to measure and are told by their form.
 4. A document is spam when more than half of its characters, line ends aside, are in such lines.
 
 Words of spaceless scripts are their characters. The few pairs in more than 1/``HOT_SHARE`` of all
@@ -24,6 +25,7 @@ gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,7 +49,13 @@ LINK_SHARE = 0.4
 LINK_WORDS = 6
 LIST_SHARE = 0.7
 SHORT_PHRASE = 4.5
+#: Words that a phrase may have beyond that on a line without a full stop.
+UNSTOPPED = 1
 HOT_SHARE = 50
+#: A collocation or word recurs if its document has it so often, and once in RATE words; RECURRING is the share of such collocations that
+#: counts in a line unlike sentences, RECURRING_HIGH in any suspect line, RECURRING_WORDS that of words in a short phrase.
+OFTEN, RATE, RECURRING, RECURRING_HIGH, RECURRING_WORDS = 3, 40, 0.6, 0.8, 0.75
+SHORT_LINE = 6
 
 _CJ = "぀-ヿ㐀-鿿豈-﫿"
 _TH = "฀-๿"
@@ -64,14 +72,19 @@ _GAP = re.compile(rf"(?<=[{_SPACELESS}])\s+(?=[{_SPACELESS}])")
 _PARTICLE = re.compile("[了着过说吗呢吧はをがでとしれたてるすだ]")
 _CJ_CHAR, _TH_CHAR = re.compile(f"[{_CJ}]"), re.compile(f"[{_TH}]")
 
-LINES = "array<struct<line:int,n:int,form:int,words:array<bigint>>>"
+_STOP = re.compile(r"[.!?।。！？](?:\s|$)")
+_DIGIT, _DEVA = re.compile(r"\d"), re.compile("[ऀ-ॿ]")
 
+LINES = "array<struct<line:int,n:int,form:int,recurs:double,words:array<bigint>>>"
 
-def _short(phrase: str) -> bool:
+
+def _short(phrase: str, most: float) -> bool:
     c = len(_CJ_CHAR.findall(phrase))
     if c and _PARTICLE.search(phrase):
         return False
-    return len(_LATIN.findall(phrase)) + c / 2 + len(_TH_CHAR.findall(phrase)) / 4 <= SHORT_PHRASE
+    # Numbers and codes are no words; Hindi clauses of four words are common.
+    words = [w for w in _LATIN.findall(phrase) if not _DIGIT.search(w)]
+    return len(words) + sum(bool(_DEVA.match(w)) for w in words) / 2 + c / 2 + len(_TH_CHAR.findall(phrase)) / 3 <= most
 
 
 def line_form(line: str) -> int:
@@ -85,7 +98,8 @@ def line_form(line: str) -> int:
         rest = _WIDE_GAP.sub(" ", rest)  # a text set with wide blanks throughout: they separate nothing
     phrases = [q for p in _SEPARATOR.split(_LEAD.sub("", rest)) if p for q in _GAP.split(p) if q.strip()]
     size = sum(map(len, phrases))
-    if len(phrases) >= 3 and sum(len(p) for p in phrases if _short(p)) > LIST_SHARE * size:
+    most = SHORT_PHRASE + UNSTOPPED * (not _STOP.search(rest))
+    if len(phrases) >= 3 and sum(len(p) for p in phrases if _short(p, most)) > LIST_SHARE * size:
         return 1
     w = [x for x in (m.lower() for m in _RUN.findall(rest)) if not x.isdigit()]
     if len(w) < MIN_REPEATED:
@@ -105,6 +119,26 @@ def tokens(line: str) -> list[str]:
     return [t.rstrip("0123456789") or t for t in _TOKEN.findall(_LINK.sub(" ", line.lower()))]
 
 
+def _runs(line: str) -> list[str]:
+    """Runs of a line outside its links, numbers aside."""
+    return [x for x in (m.lower().rstrip("0123456789") for m in _RUN.findall(_LINK.sub(" ", line))) if x]
+
+
+def _collocations(line: str) -> list[tuple[str, ...]]:
+    """Neighbouring runs of a line; a run that stands alone is one."""
+    w = _runs(line)
+    return list(zip(w, w[1:])) if len(w) != 1 else [(w[0],)]
+
+
+def _recurrence(pairs: list, words: list[str], goes_on: bool, often: set) -> float:
+    """Share of a line's collocations that recur in its document; for a short phrase, 1 if most of its words do."""
+    if not words:
+        return 0.0
+    if len(words) <= SHORT_LINE and not goes_on and sum(w in often for w in words) >= RECURRING_WORDS * len(words):
+        return 1.0
+    return sum(c in often for c in pairs) / len(pairs)
+
+
 def _hash(w: str) -> int:
     h = xxhash.xxh64_intdigest(w)
     return h - (1 << 64) if h >= 1 << 63 else h
@@ -115,7 +149,7 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in batches:
         out = []
         for text in df["text"].tolist():
-            rows = []
+            rows, runs = [], []
             for k, line in enumerate(re.split(r"[\n\r\u2028\u2029\x0b\x0c\x85]", text)):
                 if not line.strip():
                     continue
@@ -128,7 +162,12 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         h = known[w] = _hash(w)
                     ids.append(h)
                 rows.append((k, len(line), line_form(line), ids))
-            out.append(rows)
+                runs.append((_collocations(line), _runs(line), line.lstrip()[:1].islower()))
+            seen = Counter(c for r, _, _ in runs for c in r)
+            seen.update(Counter(w for _, ws, _ in runs for w in ws))
+            often = max(OFTEN, sum(len(ws) for _, ws, _ in runs) / RATE)
+            seen = {x for x, n in seen.items() if n >= often}
+            out.append([(k, n, form, _recurrence(r, ws, low, seen), ids) for (k, n, form, ids), (r, ws, low) in zip(rows, runs)])
         yield pd.DataFrame({"doc_id": df["doc_id"].tolist(), "group": pd.Series(df["group"].tolist(), dtype=object), "lines": pd.Series(out, dtype=object)})
 
 
@@ -169,11 +208,12 @@ def line_scores(docs: DataFrame) -> DataFrame:
     hot = tagged.where("hot IS NOT NULL").select("doc_id", "line", "n", F.col("hot").alias("pmi"))
     cold = tagged.where("hot IS NULL").select("doc_id", "line", "n", "a", "b").join(rest, ["a", "b"], "left").select("doc_id", "line", "n", F.coalesce("pmi", F.lit(PMI_FLOOR)).alias("pmi"))
     mean = hot.unionByName(cold).groupBy("doc_id", "line").agg(F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_different"), (F.sum(F.col("n") * F.col("pmi")) / F.sum("n")).alias("coherence"))
-    scored = lines.select("doc_id", "line", "n", "form").join(mean, ["doc_id", "line"], "left")
+    scored = lines.select("doc_id", "line", "n", "form", "recurs").join(mean, ["doc_id", "line"], "left")
     measured = F.coalesce(F.col("n_pairs"), F.lit(0)) >= MIN_PAIRS
     salad = measured & (F.col("coherence") < INCOHERENT)
-    suspect = ~measured | (F.col("coherence") < LOW) | (F.col("coherence") > HIGH) | (F.col("n_different") < DIFFERENT * F.col("n_pairs"))
-    return scored.select("doc_id", "line", "n", "form", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "coherence", (salad | (F.col("form") == 2) | (suspect & (F.col("form") == 1))).alias("spam"))
+    unlike = ~measured | (F.col("coherence") < LOW) | (F.col("coherence") > HIGH)
+    suspect = unlike | (F.col("n_different") < DIFFERENT * F.col("n_pairs"))
+    return scored.select("doc_id", "line", "n", "form", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "coherence", (salad | (F.col("form") == 2) | (suspect & (F.col("form") == 1)) | (unlike & (F.col("recurs") >= RECURRING)) | (suspect & (F.col("recurs") >= RECURRING_HIGH))).alias("spam"))
 
 
 def page_scores(docs: DataFrame) -> DataFrame:
