@@ -42,22 +42,29 @@ EDIT_EVERY = 6
 WINDOW = 4
 RADIUS = 3
 BLOCK_WORDS = 2_000_000
+#: Corpus words that a task works off together.
+WORK_WORDS = 40_000
 #: Weighted share of words that two candidate windows must have in common.
 SHINGLE_SHARE = 0.7
 
 _MARKUP = re.compile(r"<[^<>]{1,200}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});|\[\d{1,4}\]|\]\([^()\s]{1,300}\)|[\u00ad\u200b-\u200f\u2060\ufeff]")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑]\s*\n?\s*(?=[^\W\d_])")
+_ACCENT = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u0610-\u061a\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 _WORD = re.compile(r"[^\W_]+")
 _SPELLED = re.compile("ae|oe|ue")
 
 
+def _first(m: re.Match) -> str:
+    return m[0][0]
+
+
 def words(text: str) -> list[str]:
     """Comparable words of a text."""
     t = _HYPHEN.sub("", _MARKUP.sub(lambda m: "" if m[0][0] in "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff" else " ", text))
     t = unicodedata.normalize("NFKD", t.casefold())
-    t = "".join(c for c in t if not unicodedata.combining(c)) if not t.isascii() else t
+    t = _ACCENT.sub("", t) if not t.isascii() else t
     t = re.sub(r"(?<=\w)['’](?=\w)", "", t).replace("ø", "o").replace("æ", "a").replace("œ", "o")
-    return [_SPELLED.sub(lambda m: m[0][0], w) for w in _WORD.findall(t)]
+    return _WORD.findall(_SPELLED.sub(_first, t))
 
 
 class Index:
@@ -90,8 +97,7 @@ class Index:
         return self.ids.setdefault(w, len(self.ids))
 
     def _vector(self, w: str) -> np.ndarray:
-        h = xxhash.xxh64_intdigest(w)
-        bits = np.array([(h >> i) & 1 for i in range(64)], np.float32)
+        bits = np.unpackbits(np.frombuffer(xxhash.xxh64_digest(w), np.uint8)).astype(np.float32)
         return (2 * bits - 1) * np.float32(self.weight_of.get(w, 1.0))
 
     @staticmethod
@@ -148,58 +154,74 @@ def holds(sent: np.ndarray, region: np.ndarray) -> bool:
     return False
 
 
-def _found_in(ws: list[str], index: Index, extra: dict[str, int], extra_vecs: list[np.ndarray]) -> set[int]:
-    """Sentences of the index of which a text's words hold a passage."""
-    ids = np.empty(len(ws), np.int64)
-    for k, w in enumerate(ws):
-        i = index.ids.get(w)
-        if i is None:
-            i = extra.get(w)
+def enough(sent: np.ndarray, ids: np.ndarray, first: int, end: int, low: int, high: int) -> bool:
+    """Whether a span of 12 words or more could have edits few enough, for candidates on the diagonals low to high.
+
+    A word of the sentence that stands in place does so within as many words of the candidate's
+    diagonal as there are edits. Counting places that have their word there bounds the edits from
+    below, so no passage is lost.
+    """
+    n = len(sent)
+    slack = n // EDIT_EVERY
+    at = np.arange(n)[:, None] + np.arange(low - slack, high + slack + 1)[None, :]
+    there = ((ids[np.clip(at, first, end - 1)] == sent[:, None]) & (at >= first) & (at < end)).any(1)
+    missing = np.concatenate([[0], np.cumsum(~there)])
+    length = np.arange(n + 1)[None, :] - np.arange(n + 1)[:, None]
+    return bool(((missing[None, :] - missing[:, None] <= length // EDIT_EVERY) & (length >= MIN_WORDS)).any())
+
+
+def _found_in(texts: list[list[str]], index: Index) -> list[set[int]]:
+    """Per text, the sentences of the index of which its words hold a passage. Texts are worked off together."""
+    extra: dict[str, int] = {}
+    flat: list[int] = []
+    for ws in texts:
+        for w in ws:
+            i = index.ids.get(w)
             if i is None:
-                i = index.known + len(extra)
-                extra[w] = i
-                extra_vecs.append(index._vector(w).astype(np.float32))
-        ids[k] = i
-    vectors = index.vectors
-    new = np.flatnonzero(ids >= index.known)
-    if len(new):
-        uniq, inv = np.unique(ids[new], return_inverse=True)
-        vectors = np.concatenate([vectors, np.stack([extra_vecs[i - index.known] for i in uniq])])
-        local = ids.copy()
-        local[new] = index.known + inv
-    else:
-        local = ids
-    a, b = index.candidates(index.fingerprints(local, vectors))
+                i = extra.get(w)
+                if i is None:
+                    i = extra[w] = index.known + len(extra)
+            flat.append(i)
+    ids = np.array(flat, np.int64)
+    ends = np.cumsum([len(ws) for ws in texts])
+    doc_of = np.repeat(np.arange(len(texts)), [len(ws) for ws in texts])
+    found: list[set[int]] = [set() for _ in texts]
+    if len(ids) < WINDOW:
+        return found
+    digests = np.frombuffer(b"".join(xxhash.xxh64_digest(w) for w in extra), np.uint8).reshape(-1, 8)
+    vectors = np.concatenate([index.vectors, 2 * np.unpackbits(digests, axis=1).astype(np.float32) - 1])
+    a, b = index.candidates(index.fingerprints(ids, vectors))
+    inside = doc_of[a] == doc_of[a + WINDOW - 1]
+    a, b = a[inside], b[inside]
     if not len(a):
-        return set()
+        return found
     # Exact weighted word-set similarity of the two windows.
-    mine = np.lib.stride_tricks.sliding_window_view(ids, WINDOW)[a]
+    mine = ids[a[:, None] + np.arange(WINDOW)]
     theirs = index.wins[b]
     shared = (theirs[:, :, None] == mine[:, None, :]).any(2)
     wt = index.weights[theirs]
     own = np.where(mine < index.known, index.weights[np.minimum(mine, index.known - 1)], 1.0)
     ok = (wt * shared).sum(1) >= SHINGLE_SHARE * np.maximum(wt.sum(1), own.sum(1))
     a, b = a[ok], b[ok]
-    out: set[int] = set()
     if not len(a):
-        return out
-    s, j = index.at[b, 0], index.at[b, 1]
-    order = np.lexsort((a - j, s))
-    a, s, j = a[order], s[order], j[order]
+        return found
+    s, j, doc = index.at[b, 0], index.at[b, 1], doc_of[a]
+    order = np.lexsort((a - j, s, doc))
+    a, s, j, doc = a[order], s[order], j[order], doc[order]
     diag = a - j
-    group = np.concatenate([[True], (s[1:] != s[:-1]) | (diag[1:] - diag[:-1] > 5)])
-    for g, lo in enumerate(np.flatnonzero(group)):
-        hi = np.flatnonzero(group)[g + 1] if g + 1 < group.sum() else len(a)
-        k = int(s[lo])
-        if k in out:
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (s[1:] != s[:-1]) | (diag[1:] - diag[:-1] > 5)])
+    heads = np.flatnonzero(new)
+    for lo, hi in zip(heads, [*heads[1:], len(a)]):
+        d, k = int(doc[lo]), int(s[lo])
+        if k in found[d]:
             continue
         sent = index.sent[k]
         pad = len(sent) // EDIT_EVERY + 2
-        region = ids[max(0, int(diag[lo]) - pad) : int(diag[hi - 1]) + len(sent) + pad]
-        known = np.isin(region, sent)
-        if known.sum() >= MIN_WORDS - MIN_WORDS // EDIT_EVERY and holds(sent, region):
-            out.add(k)
-    return out
+        first = 0 if d == 0 else int(ends[d - 1])
+        region = ids[max(first, int(diag[lo]) - pad) : min(int(ends[d]), int(diag[hi - 1]) + len(sent) + pad)]
+        if enough(sent, ids, first, int(ends[d]), int(diag[lo]), int(diag[hi - 1])) and holds(sent, region):
+            found[d].add(k)
+    return found
 
 
 def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame) -> DataFrame:
@@ -241,18 +263,20 @@ def _scan(sentences: list[tuple[list[str], list[str]]]):
             _INDEXES.clear()
             _INDEXES[tag] = Index(sentences)
         index = _INDEXES[tag]
-        extra: dict[str, int] = {}
-        vecs: list[np.ndarray] = []
         for df in batches:
             ids, items = [], []
-            for d, t in zip(df["doc_id"].tolist(), df["text"].tolist()):
+            open_ids, open_words, size = [], [], 0
+            rows = list(zip(df["doc_id"].tolist(), df["text"].tolist()))
+            for n, (d, t) in enumerate(rows, 1):
                 ws = words(t)
-                if len(ws) < MIN_WORDS - MIN_WORDS // EDIT_EVERY or not index.known:
-                    continue
-                if len(extra) > 200_000:
-                    extra.clear(), vecs.clear()
-                for item in sorted({i for s in _found_in(ws, index, extra, vecs) for i in index.items[s]}):
-                    ids.append(d), items.append(item)
+                if len(ws) >= MIN_WORDS - MIN_WORDS // EDIT_EVERY and index.known:
+                    open_ids.append(d), open_words.append(ws)
+                    size += len(ws)
+                if open_ids and (size > WORK_WORDS or n == len(rows)):
+                    for doc, found in zip(open_ids, _found_in(open_words, index)):
+                        for item in sorted({i for s in found for i in index.items[s]}):
+                            ids.append(doc), items.append(item)
+                    open_ids, open_words, size = [], [], 0
             yield objects(doc_id=ids, item_id=items)
 
     return run
