@@ -87,11 +87,21 @@ def _short(phrase: str, most: float) -> bool:
     return len(words) + sum(bool(_DEVA.match(w)) for w in words) / 2 + c / 2 + len(_TH_CHAR.findall(phrase)) / 3 <= most
 
 
+def without_links(line: str) -> tuple[str, int]:
+    """A line with blanks for its links, and the characters of these."""
+    if "/" not in line and "](" not in line:
+        return line, 0
+    rest = _LINK.sub(" ", line)
+    return rest, sum(len(m[0]) for m in _LINK.finditer(line)) if rest != line else 0
+
+
 def line_form(line: str) -> int:
     """The form of a line: 2 for mostly links, 1 for short phrases between separators or a few words over and over, else 0."""
     bare = line.strip()
-    link = sum(len(m[0]) for m in _LINK.finditer(bare))
-    rest = _LINK.sub(" ", bare)
+    return _form(bare, *without_links(bare))
+
+
+def _form(bare: str, rest: str, link: int) -> int:
     if link > LINK_SHARE * len(bare) and len(_RUN.findall(rest)) <= LINK_WORDS:
         return 2
     if 2 * len(_WIDE_GAP.findall(rest)) > len(_ANY_GAP.findall(rest)):
@@ -114,20 +124,14 @@ def list_like(line: str) -> bool:
     return line_form(line) > 0
 
 
-def tokens(line: str) -> list[str]:
-    """Words of a line; a number at the end of a word is no part of it."""
-    return [t.rstrip("0123456789") or t for t in _TOKEN.findall(_LINK.sub(" ", line.lower()))]
-
-
-def _runs(line: str) -> list[str]:
-    """Runs of a line outside its links, numbers aside."""
-    return [x for x in (m.lower().rstrip("0123456789") for m in _RUN.findall(_LINK.sub(" ", line))) if x]
+def tokens(rest: str) -> list[str]:
+    """Words of a line without links; a number at the end of a word is no part of it."""
+    return [t.rstrip("0123456789") or t for t in _TOKEN.findall(rest.lower())]
 
 
-def _collocations(line: str) -> list[tuple[str, ...]]:
-    """Neighbouring runs of a line; a run that stands alone is one."""
-    w = _runs(line)
-    return list(zip(w, w[1:])) if len(w) != 1 else [(w[0],)]
+def _runs(rest: str) -> list[str]:
+    """Runs of a line without links, numbers aside."""
+    return [x for x in (m.rstrip("0123456789") for m in _RUN.findall(rest.lower())) if x]
 
 
 def _recurrence(pairs: list, words: list[str], goes_on: bool, often: set) -> float:
@@ -153,16 +157,19 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for k, line in enumerate(re.split(r"[\n\r\u2028\u2029\x0b\x0c\x85]", text)):
                 if not line.strip():
                     continue
+                bare = line.strip()
+                rest, link = without_links(bare)
                 ids = []
-                for w in tokens(line):
+                for w in tokens(rest):
                     h = known.get(w)
                     if h is None:
                         if len(known) > 500_000:
                             known.clear()
                         h = known[w] = _hash(w)
                     ids.append(h)
-                rows.append((k, len(line), line_form(line), ids))
-                runs.append((_collocations(line), _runs(line), line.lstrip()[:1].islower()))
+                rows.append((k, len(line), _form(bare, rest, link), ids))
+                ws = _runs(rest)
+                runs.append((list(zip(ws, ws[1:])) if len(ws) != 1 else [(ws[0],)], ws, bare[:1].islower()))
             seen = Counter(c for r, _, _ in runs for c in r)
             seen.update(Counter(w for _, ws, _ in runs for w in ws))
             often = max(OFTEN, sum(len(ws) for _, ws, _ in runs) / RATE)
