@@ -73,6 +73,7 @@ TH_FINAL = "ครับ ค่ะ คะ นะ แล้ว ล้านบา
 TH_WORDS = "การ ความ และ แต่ หรือ เพราะ ที่ ซึ่ง ใน ของ จาก กับ ให้ ได้ ไม่ เป็น มี ว่า กล่าว กล่าวว่า ราคา โรงงาน ศาล ท่าเรือ เหมือง โกดัง สัญญา สหภาพ ผู้จัดหา ใบอนุญาต รายงาน โรงไฟฟ้า กองเรือ ร่วม เอกชน ใหญ่ ชั่วคราว เก่า ซื้อ อนุมัติ ตรวจสอบ เปลี่ยน ปิด เช่า เลื่อน สนับสนุน ประท้วง ลงคะแนน".split()
 OPENERS, FINALS = frozenset(ZH_OPEN + JA_OPEN + TH_OPEN), frozenset(ZH_FINAL + JA_FINAL + TH_FINAL)
 _LEXICON = OPENERS | FINALS | frozenset(ZH_WORDS + JA_WORDS + TH_WORDS)
+_OPENER = re.compile("|".join(sorted((w for w in OPENERS if len(w) > 1), key=len, reverse=True)))
 _LONGEST = max(map(len, _LEXICON))
 
 
@@ -330,7 +331,7 @@ def _thai_gaps(text: str, lo: int, hi: int, depth: np.ndarray) -> list[int]:
 def _run_gaps(text: str, a: int, b: int, lo: int, depth: np.ndarray) -> list[int]:
     """Gaps inside a run without marks, where a final particle meets an opening word of the lattice."""
     run = text[a:b]
-    if not any(run.find(w, 1) > 0 for w in OPENERS if len(w) > 1):
+    if not _OPENER.search(run, 1):
         return []
     words = word_lattice(run)
     bounds = [*words, len(run)]
