@@ -5,9 +5,11 @@ Nothing here sets cluster-wide configuration; a session made elsewhere is used a
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,7 +42,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = os.path.join(tempfile.gettempdir(), "quillgraph-checkpoints")
+        at = _own_folder()
+    return at
+
+
+@cache
+def _own_folder() -> str:
+    """A folder for a local master that names none; it goes with the process."""
+    at = tempfile.mkdtemp(prefix="quillgraph-checkpoints-")
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
     return at
 
 
@@ -66,8 +76,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    base = os.path.join(tempfile.mkdtemp(prefix="quillgraph-"), "quillgraph-src")
-    sc.addPyFile(shutil.make_archive(base, "zip", root, "quillgraph"))
+    at = tempfile.mkdtemp(prefix="quillgraph-")
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(os.path.join(at, "quillgraph-src"), "zip", root, "quillgraph"))
     _shipped.add(sc.applicationId)
 
 
