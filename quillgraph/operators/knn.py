@@ -6,8 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import parts
 
@@ -29,6 +33,66 @@ def sparse_knn(queries: DataFrame, rows: DataFrame, k: int, order: list[Column],
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Questions that one pass over the rows scores together.
+QUESTION_BLOCK = 1024
+
+
+def scan_knn(questions: DataFrame, rows: DataFrame, k: int, key: list[str], dim: int) -> DataFrame:
+    """(qid, key…, score, rank): as ``sparse_knn``, for a stated batch of questions against very many rows.
+
+    Both sides are (…, buckets, weights, norm2) rows. The questions go to the executors in blocks of
+    ``QUESTION_BLOCK``, one narrow pass over the rows per block; a batch of rows leaves at most k rows
+    per question, ties to the smaller key, so no pair is ever shuffled. Whole numbers keep the dot
+    products exact.
+    """
+    schema = rows.schema
+    names = ", ".join(f"{c} {schema[c].dataType.simpleString()}" for c in key)
+    qid = questions.schema["qid"].dataType.simpleString()
+    arrow = to_arrow_schema(StructType.fromDDL(f"qid {qid}, {names}, score double"))
+    batch = questions.select("qid", "buckets", "weights", "norm2").collect()  # the stated batch
+    out = None
+    for lo in range(0, max(len(batch), 1), QUESTION_BLOCK):
+        part = batch[lo : lo + QUESTION_BLOCK]
+        ids = [r["qid"] for r in part]
+        qm = np.zeros((dim, len(part)), np.float32)
+        for j, r in enumerate(part):
+            qm[r["buckets"], j] = r["weights"]
+        qn = np.array([r["norm2"] for r in part], np.float64)
+
+        def score(batches: Iterator[pa.RecordBatch], ids=ids, qm=qm, qn=qn) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 2048):
+                    piece = b.slice(at, 2048)
+                    if not ids or not piece.num_rows:
+                        continue
+                    lens = np.asarray(pa.compute.list_value_length(piece.column("buckets")))
+                    m = np.zeros((piece.num_rows, dim), np.float32)
+                    m[np.repeat(np.arange(piece.num_rows), lens), np.asarray(piece.column("buckets").flatten())] = np.asarray(piece.column("weights").flatten())
+                    dots = (m @ qm).astype(np.float64)
+                    sim = dots / np.sqrt(np.asarray(piece.column("norm2"), np.float64)[:, None] * qn[None, :])
+                    keys = [piece.column(c).to_pylist() for c in key]
+                    order = sorted(range(piece.num_rows), key=lambda i: tuple(c[i] for c in keys))
+                    rank = np.empty(piece.num_rows, np.int64)
+                    rank[order] = np.arange(piece.num_rows)
+                    cols: dict[str, list] = {"qid": [], **{c: [] for c in key}, "score": []}
+                    for j in range(len(ids)):
+                        s = sim[:, j]
+                        best = np.flatnonzero(s > 0)
+                        if len(best) > k:
+                            best = best[s[best] >= -np.partition(-s[best], k - 1)[k - 1]]
+                            best = best[np.lexsort((rank[best], -s[best]))[:k]]
+                        for i in best:
+                            cols["qid"].append(ids[j]), cols["score"].append(float(s[i]))
+                            for c, values in zip(key, keys):
+                                cols[c].append(values[i])
+                    yield pa.RecordBatch.from_pydict(cols, schema=arrow)
+
+        got = rows.select(*key, "buckets", "weights", "norm2").mapInArrow(score, f"qid {qid}, {names}, score double")
+        out = got if out is None else out.unionByName(got)
+    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), *key)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def dense_knn(queries: DataFrame, rows: DataFrame, k: int, same_group: bool = False) -> DataFrame:
     """(qid, key, score, rank): the k rows of greatest cosine per query, ties to the smaller key.
 

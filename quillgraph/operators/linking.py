@@ -74,19 +74,34 @@ def block_candidates(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     return m.join(best, (m["type"] == best["_type"]) & (m["_norm"] == best["_key"])).drop("_type", "_key", "_norm")
 
 
-def sparse_vectors(df: DataFrame, key: list[str], text: str, dim: int) -> DataFrame:
-    """Feature-hash vectors as (key…, bucket, w, norm2) rows: signed token counts per bucket.
+#: Tokens up to which a vector is built inside its row; longer texts go through a shuffle by bucket.
+IN_ROW_TOKENS = 256
+
+
+def sparse_rows(df: DataFrame, key: list[str], text: str, dim: int) -> DataFrame:
+    """Feature-hash vectors, one row per text: (key…, buckets, weights, norm2), signed token counts per bucket.
 
-    A text without words is hashed whole (an empty one as NUL). Buckets that cancel out leave no
-    row; a vector that cancels out entirely gets weight 1 at its text's length modulo the width.
+    A key stands for one row. A text without words is hashed whole (an empty one as NUL). Buckets
+    that cancel out leave no entry; a vector that cancels out entirely gets weight 1 at its text's
+    length modulo the width. Null texts have no vector. Short texts need no shuffle.
     """
     norm = normalize_name(text)
     toks = F.when(norm == "", F.array(F.when(F.col(text) == "", F.lit("\0")).otherwise(F.col(text)))).otherwise(F.split(norm, " "))
-    rows = df.where(F.col(text).isNotNull()).select(*key, F.length(text).alias("_len"), F.explode(toks).alias("_t")).withColumn("_h", F.sha2("_t", 256))
-    w = rows.select(*key, "_len", digest_bucket("_h", dim).alias("bucket"), digest_sign("_h").alias("_s")).groupBy(*key, "_len", "bucket").agg(F.sum("_s").cast("int").alias("w"))
-    whole = w.groupBy(*key, "_len").agg(F.sum(F.col("w") * F.col("w")).alias("norm2"), F.collect_list(F.when(F.col("w") != 0, F.struct("bucket", "w"))).alias("_v"))
-    fixed = whole.select(*key, F.greatest("norm2", F.lit(1)).alias("norm2"), F.when(F.col("norm2") == 0, F.array(F.struct((F.col("_len") % dim).cast("int").alias("bucket"), F.lit(1).alias("w")))).otherwise(F.col("_v")).alias("_v"))
-    return fixed.select(*key, "norm2", F.explode("_v").alias("_x")).select(*key, F.col("_x.bucket").alias("bucket"), F.col("_x.w").alias("w"), "norm2")
+    rows = df.where(F.col(text).isNotNull()).select(*key, F.length(text).alias("_len"), toks.alias("_t"))
+    short = rows.where(F.size("_t") <= IN_ROW_TOKENS).select(*key, "_len", F.transform("_t", lambda t: F.sha2(t, 256)).alias("_h"))
+    signed = F.transform("_h", lambda h: F.struct(digest_bucket(h, dim).alias("b"), digest_sign(h).alias("s")))
+    summed = F.transform(F.array_distinct(F.transform("_s", lambda x: x["b"])), lambda b: F.struct(b.alias("bucket"), F.aggregate(F.filter("_s", lambda x: x["b"] == b), F.lit(0), lambda acc, x: acc + x["s"]).alias("w")))
+    inside = short.select(*key, "_len", signed.alias("_s")).select(*key, "_len", F.filter(summed, lambda x: x["w"] != 0).alias("_v"))
+    long = rows.where(F.size("_t") > IN_ROW_TOKENS).select(*key, "_len", F.explode("_t").alias("_t")).withColumn("_h", F.sha2("_t", 256))
+    w = long.select(*key, "_len", digest_bucket("_h", dim).alias("bucket"), digest_sign("_h").alias("_s")).groupBy(*key, "_len", "bucket").agg(F.sum("_s").cast("int").alias("w"))
+    outside = w.groupBy(*key, "_len").agg(F.collect_list(F.when(F.col("w") != 0, F.struct("bucket", "w"))).alias("_v"))
+    whole = inside.unionByName(outside).select(*key, F.when(F.size("_v") == 0, F.array(F.struct((F.col("_len") % dim).cast("int").alias("bucket"), F.lit(1).alias("w")))).otherwise(F.col("_v")).alias("_v"))
+    return whole.select(*key, F.transform("_v", lambda x: x["bucket"]).alias("buckets"), F.transform("_v", lambda x: x["w"]).alias("weights"), F.aggregate("_v", F.lit(0).cast("bigint"), lambda acc, x: acc + x["w"] * x["w"]).alias("norm2"))
+
+
+def sparse_vectors(df: DataFrame, key: list[str], text: str, dim: int) -> DataFrame:
+    """The same as (key…, bucket, w, norm2) rows."""
+    return sparse_rows(df, key, text, dim).select(*key, "norm2", F.explode(F.arrays_zip(F.col("buckets").alias("bucket"), F.col("weights").alias("w"))).alias("_x")).select(*key, F.col("_x.bucket").alias("bucket"), F.col("_x.w").alias("w"), "norm2")
 
 
 LINKED = "document_id string, entity_ord int, mention_text string, canonical_id string, entity_type string, score double, is_new boolean"

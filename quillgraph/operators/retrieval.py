@@ -11,8 +11,8 @@ from ..functions.scalar import cosine, node_score, normalize_name
 from ..schemas import Settings
 from ..session import cut
 from .graph import induced_edges, khop
-from .knn import sparse_knn
-from .linking import sparse_vectors
+from .knn import scan_knn
+from .linking import sparse_rows
 
 
 def rank_nodes(reached: DataFrame, seed_scores: DataFrame, nodes: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -70,11 +70,11 @@ def retrieve(questions: DataFrame, entities: DataFrame, nodes: DataFrame, edges:
     have valid ends.
     """
     d = settings.embed_dim
-    q = cut(sparse_vectors(questions, ["qid"], "question", d))
-    e = sparse_vectors(entities.select("canonical_id", "name").distinct(), ["canonical_id"], "name", d)
-    seeds = cut(sparse_knn(q, e, settings.seed_top_k_entities, [F.col("canonical_id")], ["canonical_id"]))
-    s = sparse_vectors(sentences.select("document_id", "sentence_index", "text"), ["document_id", "sentence_index"], "text", d)
-    top = sparse_knn(q, s, settings.seed_top_k_sentences, [F.col("document_id"), F.col("sentence_index")], ["document_id", "sentence_index"])
+    q = cut(sparse_rows(questions, ["qid"], "question", d))
+    e = sparse_rows(entities.select("canonical_id", "name").distinct(), ["canonical_id"], "name", d)
+    seeds = cut(scan_knn(q, e, settings.seed_top_k_entities, ["canonical_id"], d))
+    s = sparse_rows(sentences.select("document_id", "sentence_index", "text"), ["document_id", "sentence_index"], "text", d)
+    top = cut(scan_knn(q, s, settings.seed_top_k_sentences, ["document_id", "sentence_index"], d))
     edges = cut(edges)
     reached = cut(khop(seeds, edges, nodes, settings.khop_depth))
     ranked = rank_nodes(reached, seeds, nodes, settings)

@@ -14,9 +14,9 @@ from ..operators import graph as G
 from ..operators import linking as L
 from ..operators import models as M
 from ..operators import retrieval as R
-from ..operators.knn import dense_knn, sparse_knn
+from ..operators.knn import dense_knn, scan_knn, sparse_knn
 from ..schemas import LEADING_WORDS, PREDICATE_PHRASES, PREDICATES, Settings
-from ..session import checkpoint_dir, table
+from ..session import checkpoint_dir, spread, table
 from ..sources import files as files_
 from ..streaming import ingest
 
@@ -259,15 +259,23 @@ def _questions(spark, sf):
 
 
 def knn_sentences(spark, sf):
+    """The 5 sentences nearest to every question, scored in one pass over the sentences."""
+    q = L.sparse_rows(_questions(spark, sf), ["qid"], "question", DIM)
+    s = L.sparse_rows(spread(table(spark, sf, "sentences").select("document_id", "sentence_index", "text")), ["document_id", "sentence_index"], "text", DIM)
+    return scan_knn(q, s, 5, ["document_id", "sentence_index"], DIM).select("qid", "document_id", "sentence_index", "rank", six("score"))
+
+
+def knn_entities(spark, sf):
+    """The 5 entities whose names are nearest to every question, by an inverted index."""
     q = L.sparse_vectors(_questions(spark, sf), ["qid"], "question", DIM)
-    s = L.sparse_vectors(table(spark, sf, "sentences").select("document_id", "sentence_index", "text"), ["document_id", "sentence_index"], "text", DIM)
-    return sparse_knn(q, s, 5, [F.col("document_id"), F.col("sentence_index")], ["document_id", "sentence_index"]).select("qid", "document_id", "sentence_index", "rank", six("score"))
+    e = L.sparse_vectors(table(spark, sf, "entities").select("canonical_id", "name"), ["canonical_id"], "name", DIM)
+    return sparse_knn(q, e, 5, [F.col("canonical_id")], ["canonical_id"]).select("qid", "canonical_id", "rank", six("score"))
 
 
 def _retrieved(spark, sf):
     n = all_nodes(spark, sf)
     e = graph_edges(spark, sf).select("subject_id", "predicate", "object_id", "source_doc_id", "sentence_index")
-    return R.retrieve(_questions(spark, sf), n, n, e, table(spark, sf, "sentences"))
+    return R.retrieve(_questions(spark, sf), n, n, e, spread(table(spark, sf, "sentences").select("document_id", "sentence_index", "text")))
 
 
 def seed_entities(spark, sf):
@@ -415,7 +423,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_ids, normalize_names, normalize_answers, map_predicates, decode_replace, label_to_type, object_key_slugs, json_extract, sentences_heuristic, mentions_heuristic, doc_entities, mention_context, feature_hash, link_set_mode,
-        block_candidates, link_fold, graph_nodes, valid_edges, cooccurrence_edges, triples_validated, edges_replace_doc, khop_nodes, khop_edges, induced_edges, incident_edges, shortest_paths, edge_between, counts, knn_dense, knn_dense_typed, knn_sentences,
+        block_candidates, link_fold, graph_nodes, valid_edges, cooccurrence_edges, triples_validated, edges_replace_doc, khop_nodes, khop_edges, induced_edges, incident_edges, shortest_paths, edge_between, counts, knn_dense, knn_dense_typed, knn_sentences, knn_entities,
         seed_entities, rank_nodes, select_answers, retrieve, demo_endpoints, answer_scores, supporting_fact_scores, aggregate_metrics, subset_small, latest_upsert, sentence_vectors_merge, records_rebuild, prompt_build, triple_prompts, llm_cache_misses, qa_round_trip, stream_ingest,
     )
 }
@@ -586,6 +594,7 @@ UNION ALL SELECT 'documents', count(DISTINCT document_id) FROM documents UNION A
     "knn_dense": _DENSE.replace("{0}", ""),
     "knn_dense_typed": _DENSE.replace("{0}", " AND q.label = r.label"),
     "knn_sentences": f"WITH qq AS (SELECT id AS qid, question FROM qa), {_QV}, {_hash('sv', 'sentences', 'document_id, sentence_index', 'text')}, {_knn('qv', 'sv', 'document_id, sentence_index')} SELECT qid, document_id, sentence_index, rank, {_six('score')} AS score FROM knn",
+    "knn_entities": f"WITH qq AS (SELECT id AS qid, question FROM qa), {_QV}, {_hash('ev', 'entities', 'canonical_id', 'name')}, {_knn('qv', 'ev', 'canonical_id')} SELECT qid, canonical_id, rank, {_six('score')} AS score FROM knn",
     "seed_entities": _RETRIEVE + f" SELECT qid, canonical_id, rank, {_six('score')} AS score FROM knn",
     "rank_nodes": _RETRIEVE + f" SELECT qid, canonical_id, name, type, {_six('score')} AS score, rank FROM rk WHERE rank <= 20",
     "select_answers": _RETRIEVE

@@ -87,3 +87,18 @@ def test_subset(spark):
     with pytest.raises(KeyError):
         E.subset(qa, "huge")
     assert len(LABEL_TYPES) == 9
+
+
+def test_scan_equals_index(spark):
+    from quillgraph.operators import linking as L
+    from quillgraph.operators.knn import scan_knn, sparse_knn
+
+    texts = [("a", 0, "alpha beta gamma"), ("b", 0, "alpha beta gamma"), ("b", 1, "delta"), ("c", 0, "alpha"), ("d", 0, ""), ("e", 0, "!!"), ("f", 0, "word " * 300 + "alpha"), ("g", 0, None)]
+    df = spark.createDataFrame(texts, "document_id string, sentence_index int, text string")
+    qs = spark.createDataFrame([("q1", "alpha beta"), ("q2", "delta alpha"), ("q3", "nothing here"), ("q4", "")], "qid string, question string")
+    key = ["document_id", "sentence_index"]
+    want = sparse_knn(L.sparse_vectors(qs, ["qid"], "question", 64), L.sparse_vectors(df, key, "text", 64), 2, [F.col(k) for k in key], key)
+    got = scan_knn(L.sparse_rows(qs, ["qid"], "question", 64), L.sparse_rows(df, key, "text", 64), 2, key, 64)
+    rows = lambda d: sorted((r.qid, r["rank"], r.document_id, r.sentence_index, round(r.score, 9)) for r in d.collect())
+    assert rows(got) == rows(want) and [r[2] for r in rows(got) if r[0] == "q1"] == ["a", "b"]
+    assert scan_knn(L.sparse_rows(qs.limit(0), ["qid"], "question", 64), L.sparse_rows(df, key, "text", 64), 2, key, 64).count() == 0
