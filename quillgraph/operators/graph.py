@@ -9,6 +9,22 @@ from ..schemas import PREDICATES
 from ..session import cut
 
 
+#: Short entries (an id, a word of bits) of a side up to which it is sent to the executors; they are counted first.
+SENT_ROWS = 300_000
+
+
+def is_small(df: DataFrame, entries: Column | None = None) -> bool:
+    """Whether a side of short rows has at most SENT_ROWS of them, or of the entries in them."""
+    n = df.agg(F.count(F.lit(1)) if entries is None else F.sum(entries)).first()[0]
+    return (n or 0) <= SENT_ROWS
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A side of short rows, marked for broadcast only if a count shows it to be small; else the join shuffles."""
+    df = cut(df)
+    return F.broadcast(df) if is_small(df) else df
+
+
 def latest(df: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
     """Last-write-wins upsert of a log of rows: per key the row that is greatest by ``order``.
 
@@ -34,7 +50,7 @@ def graph_nodes(links: DataFrame, documents: DataFrame) -> DataFrame:
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of the closed predicate set of which both ends are nodes, as a graph store would keep them."""
-    ids = nodes.select(F.col("canonical_id").alias("_id")).distinct()
+    ids = small_side(nodes.select(F.col("canonical_id").alias("_id")).distinct())
     kept = edges.where(F.col("predicate").isin(*PREDICATES))
     return kept.join(ids, kept["subject_id"] == ids["_id"], "left_semi").join(ids, kept["object_id"] == ids["_id"], "left_semi")
 
@@ -104,7 +120,10 @@ def _masks(reached: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _edge_words(edges: DataFrame, masks: DataFrame) -> DataFrame:
     """Edges with (word, bits) rows of the questions that reached both ends."""
-    a, b = masks.select(F.col("canonical_id").alias("subject_id"), F.col("mask").alias("_ma")), masks.select(F.col("canonical_id").alias("object_id"), F.col("mask").alias("_mb"))
+    masks = cut(masks)
+    send = F.broadcast if is_small(masks, F.size("mask")) else (lambda df: df)
+    a = send(masks.select(F.col("canonical_id").alias("subject_id"), F.col("mask").alias("_ma")))
+    b = send(masks.select(F.col("canonical_id").alias("object_id"), F.col("mask").alias("_mb")))
     both = edges.join(a, "subject_id").join(b, "object_id")
     common = F.filter(F.transform(F.map_keys("_ma"), lambda w: F.struct(w.alias("word"), F.col("_ma")[w].bitwiseAND(F.coalesce(F.col("_mb")[w], F.lit(0).cast("bigint"))).alias("bits"))), lambda x: x["bits"] != 0)
     return both.withColumn("_w", F.explode(common)).select(*edges.columns, "_w.word", "_w.bits")
