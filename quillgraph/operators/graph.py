@@ -162,21 +162,25 @@ def incident_edges(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.withColumn("canonical_id", F.explode(ends)).join(ids.select("canonical_id").distinct(), "canonical_id", "left_semi")
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, max_depth: int = 6) -> DataFrame:
-    """(qid, path) for (qid, source, target): the least of the shortest undirected paths in id order, at most ``max_depth`` steps; null if none.
+def shortest_paths(pairs: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(qid, path) for (qid, source, target): the least of the shortest undirected paths in id order; null if none.
 
-    Each level keeps one path per question and node, the least, so work is bounded by nodes, not
-    by paths.
+    Searches until a step reaches no new node, or ``max_depth`` steps. Each source walks once for
+    all its questions, and each level keeps one path per source and node, the least, so work is
+    bounded by sources x nodes, not by paths.
     """
     near = cut(adjacency(edges))
     on_graph = near.select(F.col("a").alias("source")).distinct()
-    reached = cut(pairs.join(on_graph, "source", "left_semi").select("qid", F.col("source").alias("node"), F.array("source").alias("path"), F.lit(0).alias("depth")).distinct())
-    for d in range(1, max_depth + 1):
-        step = reached.where(F.col("depth") == d - 1).join(near, F.col("node") == F.col("a")).select("qid", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
-        best = step.join(reached.select("qid", "node"), ["qid", "node"], "left_anti").groupBy("qid", "node").agg(F.min("path").alias("path")).withColumn("depth", F.lit(d))
-        reached = cut(reached.unionByName(best))
-    ends = reached.select("qid", F.col("node").alias("target"), "path")
-    return pairs.select("qid", "target").join(ends, ["qid", "target"], "left").select("qid", "path")
+    start = pairs.select("source").distinct().join(on_graph, "source", "left_semi")
+    reached = fresh = cut(start.select("source", F.col("source").alias("node"), F.array("source").alias("path")))
+    d = 0
+    while (max_depth is None or d < max_depth) and not fresh.isEmpty():
+        step = fresh.join(near, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
+        fresh = cut(step.join(reached.select("source", "node"), ["source", "node"], "left_anti").groupBy("source", "node").agg(F.min("path").alias("path")))
+        reached = reached.unionByName(fresh)
+        d += 1
+    ends = reached.select("source", F.col("node").alias("target"), "path")
+    return pairs.select("qid", "source", "target").join(ends, ["source", "target"], "left").select("qid", "path")
 
 
 def first_edge_between(pairs: DataFrame, edges: DataFrame) -> DataFrame:

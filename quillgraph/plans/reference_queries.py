@@ -16,7 +16,7 @@ from ..operators import models as M
 from ..operators import retrieval as R
 from ..operators.knn import dense_knn, scan_knn, sparse_knn
 from ..schemas import LEADING_WORDS, PREDICATE_PHRASES, PREDICATES, Settings
-from ..session import checkpoint_dir, spread, table
+from ..session import checkpoint_dir, cut, spread, table
 from ..sources import files as files_
 from ..streaming import ingest
 
@@ -210,12 +210,21 @@ def incident_edges(spark, sf):
 
 
 def shortest_paths(spark, sf):
-    """From the least curated id to every other node."""
+    """From the least curated id to every other node, at most 3 steps: no path where that id is on no edge. ``all_paths`` has the whole job."""
     first = table(spark, sf, "seed_entities").agg(F.min("canonical_id").alias("source"))
     pairs = all_nodes(spark, sf).select(F.col("canonical_id").alias("target")).distinct().withColumn("_k", F.lit(1)).join(first.withColumn("_k", F.lit(1)), "_k").select(F.col("target").alias("qid"), "source", "target")
     return G.shortest_paths(pairs, graph_edges(spark, sf), 3).select("qid", F.array_join("path", ">").alias("path"))
 
 
+def all_paths(spark, sf):
+    """From every curated id that is on the graph to every node, by as many steps as it takes."""
+    edges = cut(graph_edges(spark, sf).select("subject_id", "object_id"))
+    on_graph = G.adjacency(edges).select(F.col("a").alias("source")).distinct()
+    sources = table(spark, sf, "seed_entities").select(F.col("canonical_id").alias("source")).distinct().join(on_graph, "source", "left_semi")
+    pairs = all_nodes(spark, sf).select(F.col("canonical_id").alias("target")).distinct().crossJoin(F.broadcast(sources)).select(F.struct("source", "target").alias("qid"), "source", "target")
+    return G.shortest_paths(pairs, edges).select("qid.source", "qid.target", F.array_join("path", ">").alias("path"))
+
+
 def edge_between(spark, sf):
     s = table(spark, sf, "seed_entities").select("canonical_id")
     pairs = s.select(F.col("canonical_id").alias("a"), F.lit(1).alias("_k")).join(s.select(F.col("canonical_id").alias("b"), F.lit(1).alias("_k")), "_k").where("a < b").select("a", "b")
@@ -423,7 +432,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_ids, normalize_names, normalize_answers, map_predicates, decode_replace, label_to_type, object_key_slugs, json_extract, sentences_heuristic, mentions_heuristic, doc_entities, mention_context, feature_hash, link_set_mode,
-        block_candidates, link_fold, graph_nodes, valid_edges, cooccurrence_edges, triples_validated, edges_replace_doc, khop_nodes, khop_edges, induced_edges, incident_edges, shortest_paths, edge_between, counts, knn_dense, knn_dense_typed, knn_sentences, knn_entities,
+        block_candidates, link_fold, graph_nodes, valid_edges, cooccurrence_edges, triples_validated, edges_replace_doc, khop_nodes, khop_edges, induced_edges, incident_edges, shortest_paths, all_paths, edge_between, counts, knn_dense, knn_dense_typed, knn_sentences, knn_entities,
         seed_entities, rank_nodes, select_answers, retrieve, demo_endpoints, answer_scores, supporting_fact_scores, aggregate_metrics, subset_small, latest_upsert, sentence_vectors_merge, records_rebuild, prompt_build, triple_prompts, llm_cache_misses, qa_round_trip, stream_ingest,
     )
 }
@@ -586,6 +595,10 @@ p1 AS (SELECT * FROM p0 UNION ALL SELECT b, min(list_append(path, b)) FROM p0 JO
 p2 AS (SELECT * FROM p1 UNION ALL SELECT b, min(list_append(path, b)) FROM p1 JOIN adj ON a = node WHERE len(path) = 2 AND b NOT IN (SELECT node FROM p1) GROUP BY b),
 p3 AS (SELECT * FROM p2 UNION ALL SELECT b, min(list_append(path, b)) FROM p2 JOIN adj ON a = node WHERE len(path) = 3 AND b NOT IN (SELECT node FROM p2) GROUP BY b)
 SELECT n.canonical_id AS qid, array_to_string(path, '>') AS path FROM (SELECT DISTINCT canonical_id FROM nodes) n LEFT JOIN p3 ON p3.node = n.canonical_id""",
+    "all_paths": f"""WITH RECURSIVE {_GRAPH}, src AS (SELECT DISTINCT canonical_id AS source FROM seed_entities WHERE canonical_id IN (SELECT a FROM adj)),
+p(source, node, path) USING KEY (source, node) AS (SELECT source, source, [source] FROM src
+UNION SELECT p.source, b, min(list_append(path, b)) FROM p JOIN adj ON a = node WHERE NOT EXISTS (SELECT 1 FROM recurring.p r WHERE r.source = p.source AND r.node = b) GROUP BY p.source, b)
+SELECT src.source, n.canonical_id AS target, array_to_string(path, '>') AS path FROM src CROSS JOIN (SELECT DISTINCT canonical_id FROM nodes) n LEFT JOIN p ON p.source = src.source AND p.node = n.canonical_id""",
     "edge_between": """WITH e AS (SELECT subject_id, predicate, object_id, source_doc_id, sentence_index FROM edges WHERE subject_id IS NOT NULL AND object_id IS NOT NULL AND predicate IS NOT NULL AND source_doc_id IS NOT NULL AND sentence_index IS NOT NULL)
 SELECT a.canonical_id AS a, b.canonical_id AS b, e.* FROM seed_entities a JOIN seed_entities b ON a.canonical_id < b.canonical_id JOIN e ON least(subject_id, object_id) = a.canonical_id AND greatest(subject_id, object_id) = b.canonical_id
 QUALIFY row_number() OVER (PARTITION BY a.canonical_id, b.canonical_id ORDER BY subject_id, predicate, object_id, source_doc_id, sentence_index) = 1""",

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import graph as G
+from quillgraph.plans import reference_queries as RQ
 
 EDGE = "subject_id string, predicate string, object_id string, source_doc_id string, sentence_index int"
 
@@ -64,6 +65,24 @@ def test_shortest_path_is_least(spark):
     assert got == {"1": ["a", "b", "z"], "2": ["a"], "3": None, "4": None}
 
 
+def test_shortest_path_of_any_length(spark):
+    edges = spark.createDataFrame([(f"n{i}", "OWNS", f"n{i + 1}", "d", 0) for i in range(9)], EDGE)
+    pairs = spark.createDataFrame([("far", "n0", "n9"), ("back", "n9", "n1")], "qid string, source string, target string")
+    got = {r.qid: r.path for r in G.shortest_paths(pairs, edges).collect()}
+    assert got == {"far": [f"n{i}" for i in range(10)], "back": [f"n{i}" for i in range(9, 0, -1)]}
+    assert {r.path is None for r in G.shortest_paths(pairs, edges, 6).collect()} == {True}
+
+
+def test_all_paths_searches_from_every_curated_id_on_the_graph(spark, tmp_path):
+    curated = spark.createDataFrame([("a-off", "A", "ORG"), ("n0", "N", "ORG")], "canonical_id string, name string, type string")
+    nodes = spark.createDataFrame([(f"n{i}", "N", "ORG") for i in range(1, 6)], "canonical_id string, name string, type string")
+    edges = spark.createDataFrame([(f"n{i}", "OWNS", f"n{i + 1}", "d", 0) for i in range(5)], EDGE)
+    for name, df in (("seed_entities", curated), ("entities", nodes), ("edges", edges)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r.source, r.target): r.path for r in RQ.all_paths(spark, str(tmp_path)).collect()}
+    assert got["n0", "n5"] == "n0>n1>n2>n3>n4>n5" and got["n0", "a-off"] is None and len(got) == 7
+
+
 def test_upsert_and_replace(spark):
     log = spark.createDataFrame([("e", "Apple", 1), ("e", "Apple Inc.", 2)], "canonical_id string, name string, o int")
     assert [r.name for r in G.latest(log, ["canonical_id"], ["o"]).collect()] == ["Apple Inc."]
