@@ -55,9 +55,9 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_names(table(spark, sf_dir, "entities"), table(spark, sf_dir, "links"))
 
 
-def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ents = neighbours(entity_vectors(table(spark, sf_dir, "entities")))
-    sents = neighbours(sentence_vectors(table(spark, sf_dir, "document_records")))
+def _near(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
+    ents = neighbours(entity_vectors(table(spark, sf_dir, "entities")), **kw)
+    sents = neighbours(sentence_vectors(table(spark, sf_dir, "document_records")), **kw)
     return ents.withColumn("collection", F.lit("entities")).unionByName(sents.withColumn("collection", F.lit("sentences")))
 
 
@@ -67,8 +67,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most similar others of every vector, ranked, with their cosines."""
-    return _near(spark, sf_dir).select("collection", "key", "neighbour", "rank", _six("cosine"))
+    """The 5 most similar others of every vector, ranked, with their cosines, however low these are."""
+    return _near(spark, sf_dir, min_cosine=None).select("collection", "key", "neighbour", "rank", _six("cosine"))
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

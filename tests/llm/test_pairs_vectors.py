@@ -75,6 +75,17 @@ def test_neighbours_recall(spark, bucket_rows):
     assert len(want) > 2000 and len(want & got) >= 0.95 * len(want) and len(want & got) >= 0.95 * len(got)
 
 
+@pytest.mark.parametrize("block", [8192, 100, 7])
+def test_neighbours_without_floor_are_exact(spark, monkeypatch, block):
+    monkeypatch.setattr(V, "EXACT_ROWS", block)
+    rng = np.random.default_rng(8)
+    vecs = cluster(rng, 150 if block == 7 else 700, 300) + [(f"same{i}", np.ones(64)) for i in range(8)] + [("z", np.zeros(64)), ("n", None)]
+    got = {}
+    for r in V.neighbours(make(spark, vecs), min_cosine=None).orderBy("key", "rank").collect():
+        got.setdefault(r.key, []).append(r.neighbour)
+    assert got == brute(vecs, 5, -2) and {len(x) for x in got.values()} == {5}
+
+
 def test_neighbours_copies_ties_and_junk(spark):
     rng = np.random.default_rng(6)
     a, b = rng.standard_normal(64), rng.standard_normal(64)
