@@ -198,12 +198,18 @@ def khop_edges(spark, sf):
 
 
 def induced_edges(spark, sf):
-    """The edges themselves between the direct neighbours of each curated entity, by their place in the text."""
+    """The edges of each curated entity to itself, and those among all curated entities, by their place in the text. ``subgraph_edges`` has the neighbourhoods."""
     reached = G.khop(seeds(spark, sf), graph_edges(spark, sf), all_nodes(spark, sf), 0)
     pairs = reached.unionByName(reached.withColumn("qid", F.lit("all curated"))).select("qid", "canonical_id").distinct()
     return G.induced_edges(pairs, graph_edges(spark, sf)).select("qid", "subject_id", "predicate", "object_id", "source_doc_id", "sentence_index").distinct()
 
 
+def subgraph_edges(spark, sf):
+    """The edges themselves of the subgraph around each curated entity, as retrieval expands it, by their place in the text."""
+    edges = cut(graph_edges(spark, sf).select("subject_id", "predicate", "object_id", "source_doc_id", "sentence_index").distinct())
+    return G.induced_edges(G.khop(seeds(spark, sf), edges, all_nodes(spark, sf), Settings().khop_depth), edges)
+
+
 def incident_edges(spark, sf):
     e = G.incident_edges(table(spark, sf, "seed_entities"), table(spark, sf, "edges"))
     return e.groupBy("canonical_id", "predicate").agg(F.count(F.lit(1)).alias("edges"))
@@ -432,7 +438,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_ids, normalize_names, normalize_answers, map_predicates, decode_replace, label_to_type, object_key_slugs, json_extract, sentences_heuristic, mentions_heuristic, doc_entities, mention_context, feature_hash, link_set_mode,
-        block_candidates, link_fold, graph_nodes, valid_edges, cooccurrence_edges, triples_validated, edges_replace_doc, khop_nodes, khop_edges, induced_edges, incident_edges, shortest_paths, all_paths, edge_between, counts, knn_dense, knn_dense_typed, knn_sentences, knn_entities,
+        block_candidates, link_fold, graph_nodes, valid_edges, cooccurrence_edges, triples_validated, edges_replace_doc, khop_nodes, khop_edges, induced_edges, subgraph_edges, incident_edges, shortest_paths, all_paths, edge_between, counts, knn_dense, knn_dense_typed, knn_sentences, knn_entities,
         seed_entities, rank_nodes, select_answers, retrieve, demo_endpoints, answer_scores, supporting_fact_scores, aggregate_metrics, subset_small, latest_upsert, sentence_vectors_merge, records_rebuild, prompt_build, triple_prompts, llm_cache_misses, qa_round_trip, stream_ingest,
     )
 }
@@ -589,6 +595,7 @@ SELECT source_doc_id, count(*) AS edges, count(raw_predicate) AS raw, count(DIST
     "khop_nodes": f"WITH {_GRAPH}, {_khop(_SEEDS, 2)} SELECT * FROM h2",
     "khop_edges": f"WITH {_GRAPH}, {_khop(_SEEDS, 1)} SELECT a.qid, predicate, count(*) AS edges, count(DISTINCT source_doc_id) AS documents FROM ge JOIN h1 a ON a.canonical_id = subject_id JOIN h1 b ON b.canonical_id = object_id AND b.qid = a.qid GROUP BY ALL",
     "induced_edges": f"WITH {_GRAPH}, p AS (SELECT canonical_id AS qid, canonical_id FROM seed_entities UNION ALL SELECT 'all curated', canonical_id FROM seed_entities), r AS (SELECT * FROM p WHERE canonical_id IN (SELECT canonical_id FROM nodes)) SELECT DISTINCT a.qid, subject_id, predicate, object_id, source_doc_id, sentence_index FROM ge JOIN r a ON a.canonical_id = subject_id JOIN r b ON b.canonical_id = object_id AND a.qid = b.qid",
+    "subgraph_edges": f"WITH {_GRAPH}, {_khop(_SEEDS, 2)}, u AS (SELECT DISTINCT subject_id, predicate, object_id, source_doc_id, sentence_index FROM ge) SELECT a.qid, u.* FROM u JOIN h2 a ON a.canonical_id = subject_id JOIN h2 b ON b.canonical_id = object_id AND a.qid = b.qid",
     "incident_edges": "SELECT s.canonical_id, predicate, count(*) AS edges FROM edges e JOIN seed_entities s ON s.canonical_id = e.subject_id OR s.canonical_id = e.object_id GROUP BY ALL",
     "shortest_paths": f"""WITH {_GRAPH}, src AS (SELECT min(canonical_id) AS s FROM seed_entities), p0 AS (SELECT s AS node, [s] AS path FROM src WHERE s IN (SELECT a FROM adj)),
 p1 AS (SELECT * FROM p0 UNION ALL SELECT b, min(list_append(path, b)) FROM p0 JOIN adj ON a = node WHERE b NOT IN (SELECT node FROM p0) GROUP BY b),

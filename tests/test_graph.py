@@ -83,6 +83,16 @@ def test_all_paths_searches_from_every_curated_id_on_the_graph(spark, tmp_path):
     assert got["n0", "n5"] == "n0>n1>n2>n3>n4>n5" and got["n0", "a-off"] is None and len(got) == 7
 
 
+def test_subgraph_edges_hold_the_edges_of_two_steps(spark, tmp_path):
+    curated = spark.createDataFrame([("n0", "N", "ORG")], "canonical_id string, name string, type string")
+    nodes = spark.createDataFrame([(f"n{i}", "N", "ORG") for i in range(1, 5)], "canonical_id string, name string, type string")
+    edges = spark.createDataFrame([(f"n{i}", "OWNS", f"n{i + 1}", "d", i) for i in range(4)] + [("n0", "OWNS", "n1", "d", 0), ("n2", "OWNS", "n2", "d", 9)], EDGE)
+    for name, df in (("seed_entities", curated), ("entities", nodes), ("edges", edges)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = sorted((r.qid, r.subject_id, r.object_id) for r in RQ.subgraph_edges(spark, str(tmp_path)).collect())
+    assert got == [("n0", "n0", "n1"), ("n0", "n1", "n2"), ("n0", "n2", "n2")]
+
+
 def test_upsert_and_replace(spark):
     log = spark.createDataFrame([("e", "Apple", 1), ("e", "Apple Inc.", 2)], "canonical_id string, name string, o int")
     assert [r.name for r in G.latest(log, ["canonical_id"], ["o"]).collect()] == ["Apple Inc."]
