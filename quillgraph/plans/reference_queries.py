@@ -298,9 +298,15 @@ def seed_entities(spark, sf):
 
 
 def rank_nodes(spark, sf):
+    """The 20 best nodes of every question; ``ranked_nodes`` has them all."""
     return _retrieved(spark, sf).ranked.where("rank <= 20").select("qid", "canonical_id", "name", "type", six("score"), "rank")
 
 
+def ranked_nodes(spark, sf):
+    """Every node of every question's subgraph, ranked."""
+    return _retrieved(spark, sf).ranked.select("qid", "canonical_id", "name", "type", six("score"), "rank")
+
+
 def select_answers(spark, sf):
     """The best node, and the best person, of every question."""
     r = _retrieved(spark, sf)
@@ -439,7 +445,7 @@ QUERIES = {
     for f in (
         document_ids, normalize_names, normalize_answers, map_predicates, decode_replace, label_to_type, object_key_slugs, json_extract, sentences_heuristic, mentions_heuristic, doc_entities, mention_context, feature_hash, link_set_mode,
         block_candidates, link_fold, graph_nodes, valid_edges, cooccurrence_edges, triples_validated, edges_replace_doc, khop_nodes, khop_edges, induced_edges, subgraph_edges, incident_edges, shortest_paths, all_paths, edge_between, counts, knn_dense, knn_dense_typed, knn_sentences, knn_entities,
-        seed_entities, rank_nodes, select_answers, retrieve, demo_endpoints, answer_scores, supporting_fact_scores, aggregate_metrics, subset_small, latest_upsert, sentence_vectors_merge, records_rebuild, prompt_build, triple_prompts, llm_cache_misses, qa_round_trip, stream_ingest,
+        seed_entities, rank_nodes, ranked_nodes, select_answers, retrieve, demo_endpoints, answer_scores, supporting_fact_scores, aggregate_metrics, subset_small, latest_upsert, sentence_vectors_merge, records_rebuild, prompt_build, triple_prompts, llm_cache_misses, qa_round_trip, stream_ingest,
     )
 }
 
@@ -617,6 +623,7 @@ UNION ALL SELECT 'documents', count(DISTINCT document_id) FROM documents UNION A
     "knn_entities": f"WITH qq AS (SELECT id AS qid, question FROM qa), {_QV}, {_hash('ev', 'entities', 'canonical_id', 'name')}, {_knn('qv', 'ev', 'canonical_id')} SELECT qid, canonical_id, rank, {_six('score')} AS score FROM knn",
     "seed_entities": _RETRIEVE + f" SELECT qid, canonical_id, rank, {_six('score')} AS score FROM knn",
     "rank_nodes": _RETRIEVE + f" SELECT qid, canonical_id, name, type, {_six('score')} AS score, rank FROM rk WHERE rank <= 20",
+    "ranked_nodes": _RETRIEVE + f" SELECT qid, canonical_id, name, type, {_six('score')} AS score, rank FROM rk",
     "select_answers": _RETRIEVE
     + """, pp AS (SELECT qid, canonical_id, name FROM rk WHERE type = 'PERSON' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) = 1)
 SELECT qq.qid, a.canonical_id, a.name AS answer, pp.canonical_id AS person_id, pp.name AS person FROM qq LEFT JOIN rk a ON a.qid = qq.qid AND a.rank = 1 LEFT JOIN pp ON pp.qid = qq.qid""",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillgraph.operators import evaluation as E
 from quillgraph.operators import retrieval as R
 from quillgraph.operators.knn import dense_knn
+from quillgraph.plans import reference_queries as RQ
 from quillgraph.schemas import LABEL_TYPES
 
 
@@ -50,6 +51,18 @@ def test_retrieve_line(spark):
     assert r.subgraph_edges.count() == 2 and r.sentences.where("qid = 'q'").first().document_id == "doc1"
 
 
+def test_ranked_nodes_have_the_whole_subgraph(spark, tmp_path):
+    curated = spark.createDataFrame([("hub", "Acme", "ORG")], "canonical_id string, name string, type string")
+    nodes = spark.createDataFrame([(f"n{i:02}", f"Leaf{i}", "ORG") for i in range(30)], "canonical_id string, name string, type string")
+    edges = spark.createDataFrame([("hub", "OWNS", f"n{i:02}", "d", i) for i in range(30)], "subject_id string, predicate string, object_id string, source_doc_id string, sentence_index int")
+    sents = spark.createDataFrame([("d", 0, "Acme.")], "document_id string, sentence_index int, text string")
+    qa = spark.createDataFrame([("q", "Acme")], "id string, question string")
+    for name, df in (("seed_entities", curated), ("entities", nodes), ("edges", edges), ("sentences", sents), ("qa", qa)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = RQ.ranked_nodes(spark, str(tmp_path)).orderBy("rank").collect()
+    assert [(r["rank"], r.canonical_id) for r in got] == [(i + 1, x) for i, x in enumerate(["hub", *(f"n{i:02}" for i in range(30))])]
+
+
 def test_dense_knn(spark):
     rows = spark.createDataFrame([(i, [math.cos(i / 10), math.sin(i / 10)], i % 2) for i in range(30)] + [(99, None, 0), (98, [0.0, 0.0], 0)], "key bigint, v array<double>, grp int")
     q = rows.where("key = 10").select(F.col("key").alias("qid"), "v", "grp")
