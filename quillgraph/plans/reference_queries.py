@@ -154,10 +154,13 @@ def block_candidates(spark, sf):
 
 
 def link_fold(spark, sf):
-    """Ordered linking with fuzzy candidates over all answers of the fixed evaluation set and their aliases."""
-    q = table(spark, sf, "qa").select("id", F.posexplode(E.golds()).alias("entity_ord", "surface"))
-    rows = q.select(F.col("id").alias("document_id"), F.expr("row_number() OVER (ORDER BY id, entity_ord)").cast("bigint").alias("ingest_order"), "entity_ord", "surface", F.lit("ORG").alias("type"), F.col("surface").alias("context"))
-    return L.link_fold(rows)
+    """Ordered linking with fuzzy candidates of every mention of links, in the order of first ingest, with the first sentence that holds its text as context."""
+    m = link_mentions(spark, sf).select("document_id", F.col("mention_idx").alias("entity_ord"), F.col("text").alias("surface"), "type")
+    order = table(spark, sf, "documents").groupBy("document_id").agg(F.min("ingest_order").alias("ingest_order"))
+    s = table(spark, sf, "sentences").select("document_id", "sentence_index", F.col("text").alias("_t"))
+    held = m.join(s, "document_id").where(F.contains("_t", "surface")).groupBy("document_id", "entity_ord").agg(F.min_by("_t", "sentence_index").alias("_t"))
+    rows = m.join(order, "document_id", "left").join(held, ["document_id", "entity_ord"], "left")
+    return L.link_fold(rows.select("document_id", "ingest_order", "entity_ord", "surface", "type", F.concat_ws(" ", "surface", "_t").alias("context")))
 
 
 # --- graph ---------------------------------------------------------------------------------

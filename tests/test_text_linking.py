@@ -86,3 +86,15 @@ def test_blocks(spark):
     e = spark.createDataFrame([("e2", "Apple Inc", "ORG", ["Apple"]), ("e1", "apple", "ORG", None), ("e3", "Apple", "PERSON", [])], "canonical_id string, name string, type string, aliases array<string>")
     m = spark.createDataFrame([("APPLE", "ORG"), ("pear", "ORG")], "surface string, type string")
     assert [(r.surface, r.winner, r.candidates) for r in L.block_candidates(m, e).collect()] == [("APPLE", "e1", 2)]
+
+
+def test_link_fold_takes_every_mention_of_links(spark, tmp_path):
+    from quillgraph.plans import reference_queries as RQ
+
+    links = [("d2", 0, "Acme Works", None, "ORG"), ("d1", 0, "Acme", "e", "ORG"), ("d1", 1, "Acme", None, "PERSON"), ("d2", 0, "Acme Works", None, "ORG")]
+    spark.createDataFrame(links, "document_id string, entity_ord int, mention_text string, canonical_id string, entity_type string").write.parquet(f"{tmp_path}/links.parquet")
+    spark.createDataFrame([("d1", 0, "Acme Works builds."), ("d2", 0, "None of it."), ("d2", 1, "Acme Works builds.")], "document_id string, sentence_index int, text string").write.parquet(f"{tmp_path}/sentences.parquet")
+    spark.createDataFrame([("d1", 1), ("d2", 2), ("d1", 3)], "document_id string, ingest_order bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.document_id, r.entity_ord): r for r in RQ.link_fold(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [("d1", 0), ("d1", 1), ("d2", 0)] and got["d1", 0].is_new and got["d1", 1].is_new
+    assert got["d2", 0].canonical_id == got["d1", 0].canonical_id != got["d1", 1].canonical_id and not got["d2", 0].is_new and got["d2", 0].score > 0.82
