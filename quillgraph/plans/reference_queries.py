@@ -14,6 +14,7 @@ from ..operators import graph as G
 from ..operators import linking as L
 from ..operators import models as M
 from ..operators import retrieval as R
+from ..operators.build import build_graph
 from ..operators.knn import dense_knn, scan_knn, sparse_knn
 from ..schemas import LEADING_WORDS, PREDICATE_PHRASES, PREDICATES, Settings
 from ..session import checkpoint_dir, cut, spread, table
@@ -443,12 +444,55 @@ def stream_ingest(spark, sf):
     return store.read().select("document_id", "seq", "n_chars")
 
 
+def stream_build(spark, sf):
+    """The same stream, each micro-batch built from text to graph; a document that comes again brings its nodes and edges in place of the old ones. The edges at the end, with the names of their ends as the last document wrote them."""
+    at = _scratch(spark)
+    docs = table(spark, sf, "documents")
+    ingest.publish(docs.select("bucket", "object_key", F.col("ingest_order").alias("seq")).repartition(4), f"{at}/triggers")
+    objects = docs.select("bucket", "object_key", F.col("ingest_order").alias("seq"), "text")
+    # One row per document with all it brings, so that an upsert replaces it; a sentence stands once, not with each of its edges.
+    store = files_.KeyedTable(spark, f"{at}/graph", ["document_id"], "document_id string, seq bigint, nodes array<struct<canonical_id:string,name:string,type:string>>, edges array<struct<subject_id:string,predicate:string,object_id:string,sentence_index:int>>, sentences array<struct<sentence_index:int,text:string,char_start:int,char_end:int>>", "seq")
+
+    def handle(batch, number):
+        last = batch.groupBy("bucket", "object_key").agg(F.max("seq").alias("seq")).join(objects, ["bucket", "object_key", "seq"])
+        rows = cut(last.select(S.document_id("bucket", "object_key").alias("document_id"), "text", F.col("seq").alias("ingest_order")))
+        built = build_graph(rows)
+        n = G.document_nodes(built.links).groupBy("document_id").agg(F.collect_list(F.struct("canonical_id", "name", "type")).alias("nodes"))
+        e = built.edges.groupBy(F.col("source_doc_id").alias("document_id")).agg(F.collect_list(F.struct("subject_id", "predicate", "object_id", "sentence_index")).alias("edges"))
+        t = built.sentences.groupBy("document_id").agg(F.collect_list(F.struct("sentence_index", "text", "char_start", "char_end")).alias("sentences"))
+        whole = rows.join(n, "document_id", "left").join(e, "document_id", "left").join(t, "document_id", "left")
+        store.upsert(whole.select("document_id", F.col("ingest_order").alias("seq"), "nodes", "edges", "sentences"), number)
+
+    ingest.run_available(ingest.trigger_stream(spark, f"{at}/triggers", max_files=2), f"{at}/checkpoint", handle)
+    held = cut(store.read())
+    nodes = G.latest(held.select("document_id", "seq", F.explode("nodes").alias("n")).select("document_id", "seq", "n.*"), ["canonical_id"], ["seq", "document_id"])
+    ends = [nodes.select(F.col("canonical_id").alias(f"{x}_id"), F.col("name").alias(x)) for x in ("subject", "object")]
+    edges = held.select(F.col("document_id").alias("source_doc_id"), F.explode("edges").alias("e")).select("source_doc_id", "e.*").join(ends[0], "subject_id").join(ends[1], "object_id")
+    said = held.select(F.col("document_id").alias("source_doc_id"), F.explode("sentences").alias("t")).select("source_doc_id", "t.sentence_index", F.col("t.text").alias("source_sentence"), "t.char_start", "t.char_end")
+    return edges.join(said, ["source_doc_id", "sentence_index"]).select("subject_id", "predicate", "object_id", "source_doc_id", "sentence_index", "source_sentence", "char_start", "char_end", "subject", "object")
+
+
+def retrieved_metrics(spark, sf):
+    """Answers and supporting sentences of retrieval over the graph, scored against the evaluation set."""
+    r = _retrieved(spark, sf)
+    q = table(spark, sf, "qa")
+    p = q.select("id", E.golds().alias("golds")).join(r.answers.select(F.col("qid").alias("id"), F.col("answer").alias("prediction")), "id")
+    em, f1 = (F.coalesce(f(F.col("prediction"), F.col("golds")), F.lit(0.0)) for f in (E.exact_match, E.token_f1))
+    gold = q.select("id", F.explode("supporting_facts").alias("f")).select("id", "f.title", "f.idx")
+    keys = table(spark, sf, "documents").select("document_id", "object_key").distinct()
+    titles = q.select(F.explode("context.title").alias("title")).distinct().select("title", S.object_key_slug("title").alias("object_key"))
+    facts = r.sentences.join(keys, "document_id").join(titles, "object_key").select(F.col("qid").alias("id"), "title", F.col("sentence_index").alias("idx"))
+    scores = p.select("id", em.alias("em"), f1.alias("token_f1")).join(E.supporting_facts(facts, gold), "id", "left")
+    names = ("em", "token_f1", "sf_precision", "sf_recall", "sf_f1")
+    return E.mean_metrics(scores, list(names)).select("questions", *[six(c) for c in names])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         document_ids, normalize_names, normalize_answers, map_predicates, decode_replace, label_to_type, object_key_slugs, json_extract, sentences_heuristic, mentions_heuristic, doc_entities, mention_context, feature_hash, link_set_mode,
         block_candidates, link_fold, graph_nodes, valid_edges, cooccurrence_edges, triples_validated, edges_replace_doc, khop_nodes, khop_edges, induced_edges, subgraph_edges, incident_edges, shortest_paths, all_paths, edge_between, counts, knn_dense, knn_dense_typed, knn_sentences, knn_entities,
-        seed_entities, rank_nodes, ranked_nodes, select_answers, retrieve, demo_endpoints, answer_scores, supporting_fact_scores, aggregate_metrics, subset_small, latest_upsert, sentence_vectors_merge, records_rebuild, prompt_build, triple_prompts, llm_cache_misses, qa_round_trip, stream_ingest,
+        seed_entities, rank_nodes, ranked_nodes, select_answers, retrieve, demo_endpoints, answer_scores, supporting_fact_scores, aggregate_metrics, subset_small, latest_upsert, sentence_vectors_merge, records_rebuild, prompt_build, triple_prompts, llm_cache_misses, qa_round_trip, stream_ingest, stream_build, retrieved_metrics,
     )
 }
 
@@ -653,5 +697,13 @@ SELECT r.document_id, coalesce(n, 0) AS n_sentences, CASE WHEN n > 0 AND len(sen
 p AS (SELECT l.document_id, {_PROMPT} AS prompt FROM latest l JOIN g ON g.document_id = l.document_id) SELECT document_id, length(prompt) AS n, sha256('offline' || chr(0) || prompt || chr(0) || '{{}}') AS cache_key FROM p""",
     "llm_cache_misses": "SELECT DISTINCT sha256('offline' || chr(0) || question || chr(0) || '{}') AS cache_key, question AS prompt FROM qa WHERE question NOT IN (SELECT question FROM qa WHERE len(answer_aliases) > 0)",
     "qa_round_trip": "SELECT id, question, answer, len(coalesce(answer_aliases, []::VARCHAR[])) AS n_aliases, len(supporting_facts) AS n_facts, len(context) AS n_context, context[1].sentences[1] AS first_sentence FROM qa",
+    "stream_build": f"""WITH {_MENTIONS}, links AS (SELECT document_id, mention_idx AS entity_ord, text AS mention_text, 'e-' || substr(sha256('el:' || type || ':' || {_norm('text')}), 1, 16) AS canonical_id, type AS entity_type FROM men),
+sx AS (SELECT document_id, regexp_extract_all(text, '[^.!?]+[.!?]?|[.!?]') AS a FROM latest WHERE text IS NOT NULL), st AS (SELECT document_id, unnest(a) AS t, generate_subscripts(a, 1) AS p FROM sx),
+so AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY document_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM st),
+sk AS (SELECT document_id, p, {_STRIP.format("t")} AS text, s + length(t) - length(regexp_replace(t, '^[\\s\\p{{Z}}\\v\\x85]+', '')) AS char_start FROM so WHERE t NOT IN ('.', '!', '?')),
+sentences AS (SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY p) - 1)::INT AS sentence_index, text, char_start::INT AS char_start, (char_start + length(text))::INT AS char_end FROM sk WHERE text <> ''),
+{_COOC}, fn AS (SELECT document_id, canonical_id, mention_text AS name FROM links QUALIFY row_number() OVER (PARTITION BY document_id, canonical_id ORDER BY entity_ord, mention_text, entity_type) = 1),
+gn AS (SELECT canonical_id, name FROM fn JOIN (SELECT document_id, ingest_order FROM latest) USING (document_id) QUALIFY row_number() OVER (PARTITION BY canonical_id ORDER BY ingest_order DESC, document_id DESC) = 1)
+SELECT subject_id, predicate, object_id, source_doc_id, sentence_index, source_sentence, char_start, char_end, a.name AS subject, b.name AS object FROM co JOIN gn a ON a.canonical_id = subject_id JOIN gn b ON b.canonical_id = object_id""",
     "stream_ingest": f"WITH {_LATEST} SELECT document_id, ingest_order AS seq, n_chars FROM latest",
 }

@@ -63,6 +63,24 @@ def test_ranked_nodes_have_the_whole_subgraph(spark, tmp_path):
     assert [(r["rank"], r.canonical_id) for r in got] == [(i + 1, x) for i, x in enumerate(["hub", *(f"n{i:02}" for i in range(30))])]
 
 
+def test_retrieved_metrics_score_the_answers_of_retrieval(spark, tmp_path):
+    one = spark.createDataFrame([("e", "Acme", "ORG")], "canonical_id string, name string, type string")
+    one.write.parquet(f"{tmp_path}/entities.parquet"), one.limit(0).write.parquet(f"{tmp_path}/seed_entities.parquet")
+    spark.createDataFrame([], "subject_id string, predicate string, object_id string, source_doc_id string, sentence_index int").write.parquet(f"{tmp_path}/edges.parquet")
+    spark.createDataFrame([("d", 0, "Acme builds.")], "document_id string, sentence_index int, text string").write.parquet(f"{tmp_path}/sentences.parquet")
+    spark.createDataFrame([("d", "T.txt")], "document_id string, object_key string").write.parquet(f"{tmp_path}/documents.parquet")
+    qa = [("q", "Acme", "acme", None, [("T", 0)], [("T", ["Acme builds."])]), ("r", "zzz", "zzz", None, [("T", 0)], [("zzz", [""])])]
+    spark.createDataFrame(qa, "id string, question string, answer string, answer_aliases array<string>, supporting_facts array<struct<title string, idx int>>, context array<struct<title string, sentences array<string>>>").write.parquet(f"{tmp_path}/qa.parquet")
+    assert tuple(RQ.retrieved_metrics(spark, str(tmp_path)).first()) == (2, 0.5, 0.5, 0.5, 0.5, 0.5)
+
+
+def test_stream_build_replaces_the_edges_of_a_document(spark, tmp_path):
+    docs = [("b", "k1", 1, "Acme owns nothing."), ("b", "k1", 3, "Acme met Bolt. Bolt met Ada."), ("b", "k2", 2, "Zeta met Acme.")]
+    spark.createDataFrame(docs, "bucket string, object_key string, ingest_order bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.source_sentence, r.sentence_index, *sorted([r.subject, r.object])) for r in RQ.stream_build(spark, str(tmp_path)).collect())
+    assert got == [("Acme met Bolt.", 0, "Acme", "Bolt"), ("Bolt met Ada.", 1, "Ada", "Bolt"), ("Zeta met Acme.", 0, "Acme", "Zeta")]
+
+
 def test_dense_knn(spark):
     rows = spark.createDataFrame([(i, [math.cos(i / 10), math.sin(i / 10)], i % 2) for i in range(30)] + [(99, None, 0), (98, [0.0, 0.0], 0)], "key bigint, v array<double>, grp int")
     q = rows.where("key = 10").select(F.col("key").alias("qid"), "v", "grp")
