@@ -7,9 +7,12 @@ lower case; lines of lists, links and keywords stand alone). Inside a block:
   node; quotations and brackets are edges that span the nodes inside them; each remaining node is
   classified by the token before it (abbreviation, initial, number, name turned round, plain word)
   and the opening of what follows.
-* Spaceless scripts: a lattice of dictionary words over each run of characters, of which the
-  cheapest path is taken; gaps are then classified by the final particle before and the opening
-  word after them. A blank ends a Thai unit unless a numeral or a Latin word is beside it.
+* Spaceless scripts: a lattice of dictionary words (the lists below and the words of a public
+  tokenizer's vocabulary), of which the cheapest path is taken. Its words classify the gaps: where
+  no mark stands, a final particle before and an opening word after end a unit; after a closed
+  quotation, the word that follows opens a unit or goes on with the sentence. Only runs in which a
+  final and an opening word touch are laid out, as no other run has such a gap. A terminator or, in
+  Thai, a blank ends a unit by itself, the blank unless a numeral or a Latin word is beside it.
 
 Everything is decided within the text of one row, so the stage is narrow: no shuffle, no state.
 
@@ -20,8 +23,11 @@ any length are cut whole, in time linear in their length.
 
 from __future__ import annotations
 
+import base64
+import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -56,56 +62,146 @@ _WORDCHAR = re.compile(r"\w")
 _LISTMARK = re.compile(r"[ \t\xa0]*(?:[-*•»›·#]+|\d{1,3}[.)]|[a-z]\))[ \t\xa0]+")
 _CJK = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ]")
 _THAI = re.compile("[฀-๏๚๛]")
-_CJKRUN = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿]{4,}")
 _DEVA = re.compile("[ऀ-ॿ]")
 #: Hindi words with which a sentence goes on after a quotation.
 HINDI_ON = ("और", "लेकिन", "मगर", "परन्तु", "किन्तु", "क्योंकि", "जबकि", "तो", "तथा", "एवं", "कि ", "ने", "यह", "ऐसा", "बोला", "कहा", "पर ", "फिर भी", "इसलिए")
 
-#: Dictionary of the word lattice: common function words, openers, final particles and everyday words.
-ZH_OPEN = "去年 今年 明年 昨天 今天 明天 前天 后来 随后 最近 目前 现在 当时 第一季度 第二季度 第三季度 第四季度 上个月 本月 上周 本周 春天 夏天 秋天 冬天 首先 其次 最后 然而 但是 不过 因此 所以 此外 另外 同时 据说 根据 关于 对于 由于 虽然 尽管 如果 投票之前 罢工之后 合并以来 之后 之前 以来".split()
-ZH_FINAL = "了 吗 吧 呢 啊 呀 嘛 啦 的话 而已".split()
-ZH_WORDS = "的 地 得 着 过 在 和 与 或 把 被 从 向 对 为 以 及 等 不 没有 是 有 说 表示 认为 可以 应该 已经 正在 将 会 公司 工厂 法院 港口 铁路 仓库 合同 工会 供应商 实验室 许可证 报告 审计 矿山 电站 船队 联合 私营 大型 临时 沿海 地区 北方 旧 新 收购 批准 检查 更换 关闭 租用 推迟 资助 因为 直到 政府 市场 我们 他们 这个 那个 一个 问题 时间".split()
-JA_OPEN = "昨年 今年 来年 昨日 今日 明日 先月 今月 先週 今週 最近 その後 第一四半期 第二四半期 第三四半期 第四四半期 春 夏 秋 冬 しかし また さらに そして それから なお ところが ただし まず 次に 最後に つまり 例えば ストの後 投票の前 合併以来".split()
-JA_FINAL = "です ます ました でした ません である だ だった した いた れた った んだ たい ない なかった ください か ね よ".split()
-JA_WORDS = "は が を に で と も の へ から まで より や など ので のに けど が、 ため こと もの これ それ 会社 工場 裁判所 港 鉄道 倉庫 契約 組合 供給会社 研究所 許可証 報告書 鉱山 発電所 船団 共同 民間 大きな 臨時 沿岸 地域 北 古い 新しい 買収 承認 検査 交換 閉鎖 借り 延期 支援 述べ し て".split()
-TH_OPEN = "ปีที่แล้ว ปีนี้ ปีหน้า เมื่อวาน วันนี้ พรุ่งนี้ หลัง หลังจาก หลังการ ก่อน ก่อนการ ต่อมา จากนั้น นอกจากนี้ อย่างไรก็ตาม ดังนั้น แต่ เนื่องจาก เมื่อ ขณะที่ ในขณะที่".split()
-TH_FINAL = "ครับ ค่ะ คะ นะ แล้ว ล้านบาท บาท ด้วย เลย".split()
-TH_WORDS = "การ ความ และ แต่ หรือ เพราะ ที่ ซึ่ง ใน ของ จาก กับ ให้ ได้ ไม่ เป็น มี ว่า กล่าว กล่าวว่า ราคา โรงงาน ศาล ท่าเรือ เหมือง โกดัง สัญญา สหภาพ ผู้จัดหา ใบอนุญาต รายงาน โรงไฟฟ้า กองเรือ ร่วม เอกชน ใหญ่ ชั่วคราว เก่า ซื้อ อนุมัติ ตรวจสอบ เปลี่ยน ปิด เช่า เลื่อน สนับสนุน ประท้วง ลงคะแนน".split()
-OPENERS, FINALS = frozenset(ZH_OPEN + JA_OPEN + TH_OPEN), frozenset(ZH_FINAL + JA_FINAL + TH_FINAL)
-_LEXICON = OPENERS | FINALS | frozenset(ZH_WORDS + JA_WORDS + TH_WORDS)
-_OPENER = re.compile("|".join(sorted((w for w in OPENERS if len(w) > 1), key=len, reverse=True)))
-_LONGEST = max(map(len, _LEXICON))
-
-
-def word_lattice(run: str) -> list[int]:
-    """Starts of the words on the cheapest path of the lattice over a run of spaceless characters.
-
-    A dictionary word costs 1, an unknown character 1.6, so known words win and longer ones first.
+#: Words that open a clause. Discourse words open one after any final particle; words of time and subjects need more (``_gap_ends``).
+DISCOURSE = frozenset(
+    "然而 不过 不過 后来 後來 随后 隨後 接着 此外 另外 因此 所以 于是 於是 最后 最後 首先 其次 总之 總之 据说 據說 据悉 与此同时 另一方面 尽管如此 事实上 实际上 例如 比如 "
+    "しかし また さらに そして それから なお ところが ただし まず 次に 最後に つまり 例えば その後 一方 だから でも すると それで しかも 同時に とはいえ なぜなら "
+    "แต่ ดังนั้น อย่างไรก็ตาม นอกจากนี้ ต่อมา จากนั้น หลังจากนั้น เพราะฉะนั้น อย่างไรก็ดี ในที่สุด ทั้งนี้".split()
+)
+TIME = frozenset(
+    "昨天 今天 明天 前天 后天 当天 去年 今年 明年 前年 次日 翌日 上周 本周 下周 上个月 本月 下个月 昨晚 今晚 今早 春天 夏天 秋天 冬天 当时 目前 现在 最近 近日 "
+    "昨年 来年 昨日 今日 明日 先月 今月 来月 先週 今週 来週 今朝 翌朝 翌年 翌週 昨夜 その日 "
+    "เมื่อวาน วันนี้ พรุ่งนี้ ปีที่แล้ว ปีนี้ ปีหน้า ตอนนี้ ขณะนี้ เดือนที่แล้ว สัปดาห์ที่แล้ว เมื่อวานนี้ วันรุ่งขึ้น".split()
+)
+SUBJECT = frozenset(
+    "我 我们 你 你们 他 她 它 他们 她们 它们 大家 人们 有人 我們 你們 他們 她們 "
+    "私 私たち 彼 彼女 彼ら 僕 僕たち あなた みんな 皆 これ それ この その あの 誰も "
+    "เขา เธอ ฉัน ผม เรา พวกเขา พวกเรา คุณ ดิฉัน ท่าน ทุกคน พวกเธอ".split()
+)
+#: Final particles and endings. The strong ones end a clause as a rule; after a weak one, an object may stand as well.
+STRONG = frozenset("吗 嗎 呢 吧 啊 呀 嘛 啦 罢了 而已 です ます ました でした ません ませんでした でしょう ましょう ください ですか ますか ましたか ですね ですよ ますね ますよ ましたね ครับ ค่ะ จ้ะ".split())
+WEAK = frozenset("了 過了 过了 した った れた んだ いた だった である แล้ว เลย ด้วย นะ คะ".split())
+#: Words with which the sentence goes on after a quotation.
+GOES_ON = frozenset("的 和 与 與 或 或者 以及 等 と って という との といった などと は が を に の も で へ や から など ว่า และ หรือ".split())
+#: Everyday words, so that neighbouring particles are not found inside them.
+WORDS = frozenset(
+    "是 有 在 不 没有 就 也 都 还 很 会 能 可以 应该 已经 正在 将 把 被 从 向 对 为 上 下 中 里 这 那 这个 那个 一个 什么 怎么 为什么 说 表示 认为 时间 时候 问题 工作 会议 政府 公司 市场 国家 城市 学校 继续 结束 开始 返回 酒吧 网吧 了解 了不起 为了 除了 "
+    "する して した しない こと もの ため よう そう どう ここ そこ 人 年 月 日 会社 学校 政府 工場 まで より ので のに けど できる なる なった ある いる いた ない られる された "
+    "การ ความ ที่ ซึ่ง ใน ของ จาก กับ ให้ ได้ ไม่ เป็น มี จะ ก็ นี้ นั้น คน วัน ปี เดือน บ้าน ตลาด โรงงาน โรงเรียน ไป มา กลับ กิน ทำ พูด เห็น รู้ คะแนน ลงคะแนน กล่าว กล่าวว่า เพราะ เมื่อ หลัง ก่อน หลังการ ก่อนการ ขณะที่ ชนะ ฐานะ ขณะ ลักษณะ สถานะ แล้วเสร็จ นะคะ นะครับ แต่งงาน แต่ง แต่ละ ตั้งแต่ ผมยาว เขาใหญ่ ภูเขา".split()
+)
+_LISTED = DISCOURSE | TIME | SUBJECT | STRONG | WEAK | GOES_ON | WORDS
+#: Numbered stretches of time: the third day, the second quarter.
+_NUMBERED = re.compile("第[一二三四五六七八九十百\\d]{1,4}(?:个)?(?:天|年|周|月|季度|次|日|四半期|週|回)")
+#: A phrase of time that heads a clause, with its comma.
+_HEAD = re.compile("[぀-ヿ㐀-䶿一-鿿]{1,8}?(?:之前|之后|之後|以来|期间|前に|の後|後に|に)[，、]")
+_FINALS = sorted(STRONG | WEAK, key=len, reverse=True)
+_OPENERS = sorted(DISCOURSE | TIME | SUBJECT, key=len, reverse=True)
+#: Places where a final particle and an opening word touch: only there can a gap without marks be one.
+_TOUCH = re.compile("(?:" + "|".join(_FINALS) + ")(?=" + "|".join(_OPENERS) + "|第)")
+_SPACELESS = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿々ｦ-ﾟ\u0e00-\u0e7f]+")
+#: Costs of a lattice edge: a word of the lists, a word of the vocabulary, a character that is in no word.
+LISTED, OF_VOCABULARY, UNKNOWN = 1.0, 1.1, 1.6
+#: A public tokenizer's file, whose whole words of spaceless scripts widen the dictionary.
+VOCABULARY = os.environ.get("QUILL_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
+
+def vocabulary_words(path: str = VOCABULARY) -> tuple[str, ...]:
+    """Words of two characters and more of spaceless scripts in a vocabulary of byte pairs (base64, rank); none where there is no file."""
+    if not os.path.exists(path):
+        return ()
+    out = set()
+    with open(path, "rb") as f:
+        for line in f:
+            w = base64.b64decode(line.split()[0]).decode(errors="ignore").strip()
+            if len(w) > 1 and _SPACELESS.fullmatch(w):
+                out.add(w)
+    return tuple(sorted(out))
+
+
+class Lattice:
+    """Dictionary word lattice over runs of spaceless characters."""
+
+    def __init__(self, vocabulary: tuple[str, ...] = ()):
+        self.cost = {w: OF_VOCABULARY for w in vocabulary} | {w: LISTED for w in _LISTED}
+        self.longest = max(map(len, self.cost), default=1)
+        self.words = lru_cache(maxsize=50_000)(self._words)
+
+    def _words(self, run: str) -> tuple[tuple[int, str, bool], ...]:
+        """(start, word, known) on the cheapest path; equal costs go to the longer last word."""
+        n, known = len(run), self.cost
+        cost, back, is_word = [0.0] + [1e9] * n, [0] * (n + 1), [False] * (n + 1)
+        numbered = {m.start(): m.end() for m in _NUMBERED.finditer(run)} if "第" in run else {}
+        for i in range(n):
+            c = cost[i]
+            if c + UNKNOWN < cost[i + 1]:
+                cost[i + 1], back[i + 1], is_word[i + 1] = c + UNKNOWN, i, False
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                w = known.get(run[i:j])
+                if w is not None and c + w < cost[j]:
+                    cost[j], back[j], is_word[j] = c + w, i, True
+            if (j := numbered.get(i)) and c + LISTED < cost[j]:
+                cost[j], back[j], is_word[j] = c + LISTED, i, True
+        out, i = [], n
+        while i > 0:
+            out.append((back[i], run[back[i] : i], is_word[i]))
+            i = back[i]
+        return tuple(out[::-1])
+
+    def first(self, text: str, at: int, hi: int) -> str | None:
+        """The word of the dictionary that stands at a place, or None."""
+        m = _SPACELESS.match(text, at, min(hi, at + 24))
+        if not m:
+            return None
+        _, w, known = self.words(m[0])[0]
+        return w if known else None
+
+    def gaps(self, run: str, comma: bool = False) -> list[int]:
+        """Places inside a run without marks where a clause ends and the next opens; a comma may follow the run."""
+        if not _TOUCH.search(run):
+            return []
+        path = self.words(run)
+        return [path[k][0] for k in range(1, len(path)) if k + 1 < len(path) and _gap_ends(path, k, comma)]
+
+
+def _ending(w: str, among: frozenset[str]) -> bool:
+    """Whether a word is one of some endings, or a longer word of the vocabulary, none of the lists, that ends in one."""
+    return w in among or (w not in _LISTED and any(w.endswith(x) for x in among))
+
+
+def _gap_ends(path: tuple[tuple[int, str, bool], ...], k: int, comma: bool) -> bool:
+    """Whether the gap before the k-th word of a path ends a unit.
+
+    A strong final before any opening word; a weak one before a discourse word, or before a word of
+    time with a subject after it or as a phrase that a comma closes; in Thai, where objects need a
+    verb, before a subject as well.
     """
-    n = len(run)
-    cost, back = [0.0] + [1e9] * n, [0] * (n + 1)
-    for i in range(n):
-        c = cost[i]
-        if c + 1.6 < cost[i + 1]:
-            cost[i + 1], back[i + 1] = c + 1.6, i
-        for j in range(i + 1, min(n, i + _LONGEST) + 1):
-            if run[i:j] in _LEXICON and c + 1.0 < cost[j]:
-                cost[j], back[j] = c + 1.0, i
-    cuts, i = [], n
-    while i > 0:
-        i = back[i]
-        cuts.append(i)
-    return cuts[::-1]
+    (_, before, known), (_, here, opening) = path[k - 1], path[k]
+    if not known or not opening or k < 2:
+        return False
+    time = here in TIME or bool(_NUMBERED.fullmatch(here))
+    if _ending(before, STRONG):
+        return here in DISCOURSE or here in SUBJECT or time
+    if _ending(before, WEAK):
+        return here in DISCOURSE or (time and (path[k + 1][1] in SUBJECT or (comma and len(path) <= k + 4))) or (here in SUBJECT and bool(_THAI.match(here)))
+    return False
+
+
+_LATTICES: dict[tuple[str, ...], Lattice] = {}
 
 
-def opens(text: str, at: int) -> bool:
-    """Whether an opening word of a spaceless script stands at a place."""
-    return any(text.startswith(w, at) for w in OPENERS)
+def lattice_of(vocabulary: tuple[str, ...]) -> Lattice:
+    if vocabulary not in _LATTICES:
+        _LATTICES[vocabulary] = Lattice(vocabulary)
+    return _LATTICES[vocabulary]
 
 
-def ends_final(text: str, at: int) -> bool:
-    """Whether a final particle stands right before a place."""
-    return any(text.endswith(w, max(0, at - 8), at) for w in FINALS)
+def opens(word: str | None) -> bool:
+    """Whether a word of the lattice opens a unit."""
+    return word is not None and (word in DISCOURSE or word in TIME or word in SUBJECT or bool(_NUMBERED.fullmatch(word)))
 
 
 def _spans(text: str, lo: int, hi: int) -> tuple[dict[int, int], np.ndarray]:
@@ -148,7 +244,7 @@ def _capital(text: str, at: int) -> bool:
     return c.islower() and text[at + 1 : at + 2].isupper()
 
 
-def _dot_ends(text: str, lo: int, dot: int, nxt: int, gap: bool) -> bool:
+def _dot_ends(text: str, lo: int, dot: int, nxt: int, gap: bool, lattice: Lattice) -> bool:
     """Whether a single dot at ``dot`` ends a unit that is followed by the character at ``nxt``."""
     head = text[lo:dot]
     tok = _TOKEN.search(head[-60:])[0]
@@ -157,7 +253,7 @@ def _dot_ends(text: str, lo: int, dot: int, nxt: int, gap: bool) -> bool:
     lower = c.islower() and not cap
     cjk = bool(_CJK.match(c))
     opening = c in _OPEN
-    starts = cap or opening or c in "-•*#" or (cjk and opens(text, nxt))
+    starts = cap or opening or c in "-•*#" or (cjk and (opens(lattice.first(text, nxt, len(text))) or bool(_HEAD.match(text, nxt))))
     if not gap and (not (cap or opening or cjk or c.isalpha() and not c.islower()) or text[nxt + 1 : nxt + 2] == "."):
         return False
     low = _ZERO_WIDTH.sub("", tok.lower()).strip("'’,;:-")
@@ -203,7 +299,7 @@ def _dot_ends(text: str, lo: int, dot: int, nxt: int, gap: bool) -> bool:
     return True
 
 
-def _block_units(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
+def _block_units(text: str, lo: int, hi: int, lattice: Lattice) -> list[tuple[int, int]]:
     """Units of one block."""
     pairs, depth = _spans(text, lo, hi)
     urls = [(lo + m.start(), lo + len(m[0].rstrip(".,;:!?…")) + m.start()) for m in _URL.finditer(text[lo:hi])]
@@ -263,7 +359,7 @@ def _block_units(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
         wide = kind[-1] in "。！？।॥｡"
         if quoted:
             if wide or not (c.isalpha() and (c.islower() or c.isupper())):
-                on = (c == "と" or (_DEVA.match(c) and text.startswith(HINDI_ON, nxt)) or (c in "–—") or c.isdigit()) and not opens(text, nxt)
+                on = lattice.first(text, nxt, hi) in GOES_ON or (_DEVA.match(c) and text.startswith(HINDI_ON, nxt)) or (c in "–—") or c.isdigit()
                 if on or (thai and not wide):
                     continue
             elif not _capital(text, nxt):
@@ -272,7 +368,7 @@ def _block_units(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
         elif wide:
             cuts.append(end)
         elif kind == ".":
-            if not _dot_ends(text, start, a, nxt, gap):
+            if not _dot_ends(text, start, a, nxt, gap, lattice):
                 continue
             cuts.append(end)
         elif kind[0] in ".…" and not set(kind) & set("!?"):
@@ -288,8 +384,8 @@ def _block_units(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
         start = nxt
     if thai:
         cuts += _thai_gaps(text, lo, hi, depth)
-    for m in _CJKRUN.finditer(text, lo, hi):
-        cuts += _run_gaps(text, m.start(), m.end(), lo, depth)
+    for m in _SPACELESS.finditer(text, lo, hi):
+        cuts += [m.start() + g for g in lattice.gaps(m[0], text[m.end() : m.end() + 1] in ("、", "，")) if not depth[m.start() + g - lo]]
     out, s = [], lo
     for e in [*sorted(set(cuts)), hi]:
         a, b = s, e
@@ -328,23 +424,6 @@ def _thai_gaps(text: str, lo: int, hi: int, depth: np.ndarray) -> list[int]:
     return out
 
 
-def _run_gaps(text: str, a: int, b: int, lo: int, depth: np.ndarray) -> list[int]:
-    """Gaps inside a run without marks, where a final particle meets an opening word of the lattice."""
-    run = text[a:b]
-    if not _OPENER.search(run, 1):
-        return []
-    words = word_lattice(run)
-    bounds = [*words, len(run)]
-    out = []
-    for k in range(1, len(words)):
-        here, before = run[bounds[k] : bounds[k + 1]], run[bounds[k - 1] : bounds[k]]
-        if here in OPENERS and len(here) > 1 and (before in FINALS and len(before) > 1 or ends_final(run, bounds[k]) and before not in ("か", "よ", "ね", "だ")) and not depth[a + bounds[k] - lo]:
-            # An opening word heads its clause: a comma follows soon.
-            if re.match("[^。！？]{0,6}[、，]", text[a + bounds[k + 1] : a + bounds[k + 1] + 8]):
-                out.append(a + bounds[k])
-    return out
-
-
 def blocks(text: str) -> list[tuple[int, int]]:
     """Stretches that no unit crosses."""
     out = []
@@ -382,8 +461,9 @@ _LINE_ENDS = re.compile("[\\r\\x0b\\x0c\\x85\\u2028\\u2029]")
 _LINKY = re.compile(r"https?://|www\.|<a\s")
 
 
-def units(text: str) -> list[tuple[int, int]]:
+def units(text: str, lattice: Lattice | None = None) -> list[tuple[int, int]]:
     """Half-open code-point offsets of the units of a text."""
+    lattice = lattice or lattice_of(())
     # Other line ends of one character become line feeds, so offsets stay.
     text = _LINE_ENDS.sub("\n", text.replace("\r\n", " \n"))
     out: list[tuple[int, int]] = []
@@ -395,27 +475,34 @@ def units(text: str) -> list[tuple[int, int]]:
         a = lo + len(s) - len(s.lstrip())
         b = a + len(bare)
         # A line of links is one unit, and so is a keyword line without terminators of its own.
-        if (_LINKY.search(bare) or _THAI.search(bare)) and len(bare) < 5000 and list_like(bare):
+        if (_LINKY.search(bare) or _THAI.search(bare)) and list_like(bare):
             out.append((a, b))
             continue
-        out += _block_units(text, a, b)
+        out += _block_units(text, a, b, lattice)
     return out
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for df in batches:
-        ids, starts, ends, index = [], [], [], []
-        for d, t in zip(df["doc_id"].tolist(), df["text"].tolist()):
-            for k, (a, b) in enumerate(units(t)):
-                ids.append(d), starts.append(a), ends.append(b), index.append(k)
-            if len(ids) > 20_000:
-                yield objects(doc_id=ids, sentence_index=np.array(index, np.int32), char_start=np.array(starts, np.int32), char_end=np.array(ends, np.int32))
-                ids, starts, ends, index = [], [], [], []
-        yield objects(doc_id=ids, sentence_index=np.array(index, np.int32), char_start=np.array(starts, np.int32), char_end=np.array(ends, np.int32))
+def _cut(vocabulary: tuple[str, ...]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lattice = lattice_of(vocabulary)
+        for df in batches:
+            ids, starts, ends, index = [], [], [], []
+            for d, t in zip(df["doc_id"].tolist(), df["text"].tolist()):
+                for k, (a, b) in enumerate(units(t, lattice)):
+                    ids.append(d), starts.append(a), ends.append(b), index.append(k)
+                if len(ids) > 20_000:
+                    yield objects(doc_id=ids, sentence_index=np.array(index, np.int32), char_start=np.array(starts, np.int32), char_end=np.array(ends, np.int32))
+                    ids, starts, ends, index = [], [], [], []
+            yield objects(doc_id=ids, sentence_index=np.array(index, np.int32), char_start=np.array(starts, np.int32), char_end=np.array(ends, np.int32))
 
+    return run
 
-def sentence_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, sentence_index, char_start, char_end) of every unit of every text."""
+
+def sentence_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, sentence_index, char_start, char_end) of every unit of every text.
+
+    The vocabulary's words (some thousand) are read once, here, and go to the executors with the function.
+    """
     rows = docs.where(docs[doc_id].isNotNull() & docs[text].isNotNull()).select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     typ = docs.schema[doc_id].dataType.simpleString()
-    return spread(once_per(rows, "doc_id")).mapInPandas(_cut, f"doc_id {typ}, sentence_index int, char_start int, char_end int")
+    return spread(once_per(rows, "doc_id")).mapInPandas(_cut(vocabulary_words(vocabulary)), f"doc_id {typ}, sentence_index int, char_start int, char_end int")

@@ -49,6 +49,39 @@ def test_units(text, want):
     assert cut(text) == want
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("昨天下雨了然而他们继续工作", ["昨天下雨了", "然而他们继续工作"]),
+        ("会议结束了第三天他们返回北京市区", ["会议结束了", "第三天他们返回北京市区"]),
+        ("工場は閉鎖されました翌朝みんなが帰りました", ["工場は閉鎖されました", "翌朝みんなが帰りました"]),
+        ("เขาไปตลาดแล้วเธอกลับบ้าน", ["เขาไปตลาดแล้ว", "เธอกลับบ้าน"]),
+        ("他错过了今天的会议", ["他错过了今天的会议"]),
+        ("他看见了他们", ["他看见了他们"]),
+        ("除了今天他们都来", ["除了今天他们都来"]),
+        ("ปีที่แล้วเธอไปตลาด", ["ปีที่แล้วเธอไปตลาด"]),
+        ("「すごい！」と言いました。「すごい！」ところが帰った。", ["「すごい！」と言いました。", "「すごい！」", "ところが帰った。"]),
+    ],
+)
+def test_units_without_marks_come_from_the_lattice(text, want):
+    for words in ((), S.vocabulary_words()):
+        lattice = S.lattice_of(words)
+        assert [text[a:b] for a, b in S.units(text, lattice)] == want
+    off = S.Lattice()
+    off.cost, off.longest = {}, 1
+    if len(want) != 1:
+        assert [text[a:b] for a, b in S.units(text, off)] != want
+
+
+def test_long_link_line_is_one_unit():
+    line = " | ".join(f"https://a.example/p/{i}" for i in range(400))
+    assert len(line) > 5000 and S.units(line + "\n\nThe end.") == [(0, len(line)), (len(line) + 2, len(line) + 10)]
+
+
+def test_vocabulary_words_of_a_missing_file(tmp_path):
+    assert S.vocabulary_words(str(tmp_path / "none")) == ()
+
+
 def test_units_invariants():
     rng = random.Random(7)
     bits = ["The dock", " closed", ".", " ", "\n", "\n\n", "“", "”", '"', "(", ")", "Dr.", "了。", "第二", "ปี", " 3", "।", "!", "?", "...", "- ", "# ", "https://x.example/a.b", "Ltd.", " ", "\r\n", "»", "«", "a"]
