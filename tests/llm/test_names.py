@@ -43,6 +43,46 @@ def test_radius_join_equals_brute_force(spark, cell):
     assert got == want
 
 
+def test_partitioning_is_active_and_loses_no_pair(spark):
+    rng = random.Random(5)
+    names = ["".join(rng.choice("abcdefghijklmnoprstu") for _ in range(13)) for _ in range(150)]
+    words = sorted({w for n in names for w in (n, n[:4] + n[5:], n[:7] + "z" + n[7:], n[1:] + "q")} | {"ab", "abc", "abcd", "abce"})
+    df = spark.createDataFrame([("b", w) for w in words], "block string, s string")
+    for sample in (16_384, 40):
+        cells = MJ.placed(df, 100, sample).collect()
+        homes = [r for r in cells if r.home]
+        assert sorted(r.s for r in homes) == words
+        if sample > len(words):  # a cell for each name, and hardly any spelling in a second one
+            assert len({r.cell for r in homes}) > 100 and len(cells) < 1.5 * len(words)
+        got = {(r.a, r.b, r.d) for r in MJ.radius_pairs(df, 100, sample).collect()}
+        assert got == {(a, b, lev(a, b)) for i, a in enumerate(words) for b in words[i + 1 :] if lev(a, b) <= MJ.radius_of(min(len(a), len(b)))}
+
+
+def test_pivots_are_apart_and_near_all():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(120)]
+    chosen = MJ.choose_pivots(words)
+    assert all(lev(a, b) > MJ.PIVOT_GAP for i, a in enumerate(chosen) for b in chosen[:i])
+    assert all(min(lev(w, p) for p in chosen) <= MJ.PIVOT_GAP for w in words)
+
+
+def test_near_finds_all_within_the_limit():
+    rng = random.Random(8)
+    lexicon = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(4, 11))) for _ in range(60)})
+    near = N.Near(lexicon)
+    for _ in range(200):
+        w = "".join(rng.choice("abcd") for _ in range(rng.randrange(4, 11)))
+        best = min(lev(w, x) for x in lexicon)
+        d, hits = near.nearest(w)
+        assert hits == ([x for x in lexicon if lev(w, x) == best] if best <= N.limit_of(len(w)) else []) and (not hits or d == best)
+
+
+def test_components_that_do_not_settle_raise(spark):
+    edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)]
+    with pytest.raises(RuntimeError, match="settle"):
+        MJ.components(spark.createDataFrame(edges, "a string, b string"), max_rounds=1)
+
+
 def test_components(spark):
     edges = [("a", "b"), ("b", "c"), ("x", "y"), ("q", "q")] + [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)]
     got = {r.node: r.comp for r in MJ.components(spark.createDataFrame(edges, "a string, b string")).collect()}
@@ -100,3 +140,31 @@ def test_parsing():
     assert N.parse_org(N.fold("The Alpine Bratnuk, Shpg. & Co.")) == ("alpine shipping", "bratnuk")
     assert N.parse_org(N.fold("Textiles Bratnuk G.m.b.H.")) == ("textiles", "bratnuk")
     assert N.fold("Zа​chá") == "zacha" and np.int32(1) == 1
+
+
+def test_firms_without_trade_or_form_are_linked_by_their_whole_name(spark):
+    ents = [("r1", "Red Cross", "ORG", ["The Red Cross"]), ("r2", "Red Croos", "ORG", None), ("t1", "Toyota", "ORG", None), ("b1", "BBC", "ORG", None), ("b2", "BBD", "ORG", None), ("m1", "Médecins Sans Frontières", "ORG", None), ("x1", "Oxfam", "ORG", ["OX"]), ("x2", "Oxbow Mills", "ORG", ["OX"])]
+    links = [("d", 0, "Toyotta", None, "ORG"), ("d", 1, "medecins sans frontieres", None, None), ("d", 2, "Anna Brat", None, "PERSON"), ("d", 3, "Anna Bratt", None, "PERSON"), ("d", 4, "BBC", None, "ORG")]
+    got = run(spark, ents, links)
+    assert got == {("r1", "r2"), ("d#0", "t1"), ("d#1", "m1"), ("b1", "d#4")}
+
+
+def test_unknown_forenames_stand_for_themselves(spark):
+    crowd = [(f"c{i}", f"{f} Zzqxv{chr(97 + i % 26) * 3}{i}wmkp", "PERSON", None) for i, f in enumerate(["Anneliese", "Emmeline", "Matthias"] * 8)]
+    ents = [("a1", "Anna Bratgemnuk", "PERSON", None), ("a2", "Anneliese Bratgemnuk", "PERSON", None), ("l1", "Lena Stelgruvmad", "PERSON", None), ("l2", "Emmeline Stelgruvmad", "PERSON", None), ("m1", "Marta Kolvadrin", "PERSON", None), ("m2", "Matthias Kolvadrin", "PERSON", None), ("a3", "Anna Bratgemnukk", "PERSON", None)]
+    got = {p for p in run(spark, crowd + ents) if not (p[0].startswith("c") and p[1].startswith("c"))}
+    assert got == {("a1", "a3")}
+    assert N.Forenames(["anneliese", "emmeline", "matthias"]).stands("lisa") == ()
+
+
+def test_lexicon_does_not_depend_on_the_size(spark, monkeypatch):
+    rare = [("rare" + c + "a", 5, 0) for c in "bcdfg"]
+    few = spark.createDataFrame([*rare, ("dominik", 40, 1), ("domimik", 5, 0)], "w string, f bigint, l bigint")
+    many = few.unionByName(spark.createDataFrame([(f"q{i:04}xyvw{i % 7}", 9, 0) for i in range(300)] + [("zzzz", 1_000_000, 0)], "w string, f bigint, l bigint"))
+    want = {r[0] for r in rare} | {"dominik"}
+    for block in (5000, 3):
+        monkeypatch.setattr(N, "LEXICON_BLOCK", block)
+        assert {r.w for r in N.forename_lexicon(few).collect()} == want
+        assert want <= {r.w for r in N.forename_lexicon(many).collect()}
+        stands = {r.w: r.full for r in N.stands_for(few.unionByName(spark.createDataFrame([("domini", 1, 0), ("domin", 1, 0), ("xx", 1, 0)], "w string, f bigint, l bigint"))).collect()}
+        assert stands["domini"] == ["dominik"] and stands["domin"] == ["dominik"] and "xx" not in stands
