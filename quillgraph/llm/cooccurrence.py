@@ -12,8 +12,9 @@ is in no pair of that lift. Both only remove pairs that the floors remove anyway
 takes out just the items that occur nearly everywhere, which are the hot ones.
 
 Enumeration streams: an item is exploded with its position, then the tail of its basket, so no
-array of all pairs of a basket ever exists. Baskets longer than ``long_basket`` are spread over
-tasks by item before their tails are exploded.
+array of all pairs of a basket ever exists. Baskets longer than ``long_basket`` are cut into blocks
+of that length first, and every two blocks of a basket are a row of their own that any task may
+enumerate: a basket of b items sends b * b / long_basket ids, not b * b.
 
 Defined results: null records and null items count nowhere; repeated rows count once; an empty
 table gives no rows; a record with one item has no pair but counts in N; ids are compared as they
@@ -35,6 +36,20 @@ def baskets(df: DataFrame, record: str, item: str) -> DataFrame:
     return df.select(F.col(record).alias("_r"), F.col(item).alias("_i")).where("_r IS NOT NULL AND _i IS NOT NULL").distinct()
 
 
+def _block_pairs(weighed: DataFrame, size: int) -> DataFrame:
+    """(_w, _x, _y, _same): every two blocks of a long basket, and every block with itself, dealt to tasks."""
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("_b") / size).cast("int") - 1), lambda k: F.slice("_b", k * size + 1, F.lit(size)))
+    first = weighed.select("_w", blocks.alias("_k")).select("_w", "_k", F.posexplode("_k").alias("_i", "_x"))
+    both = first.select("_w", "_i", "_x", F.posexplode(F.slice("_k", F.col("_i") + 1, F.size("_k"))).alias("_j", "_y"))
+    return both.select("_w", "_x", "_y", (F.col("_j") == 0).alias("_same")).repartition(F.xxhash64(F.col("_x")[0], F.col("_y")[0]))
+
+
+def _enumerated(rows: DataFrame) -> DataFrame:
+    """(_a, _z, _w): the pairs of each row, a block with itself giving each pair once."""
+    heads = rows.select("_w", "_x", "_y", "_same", F.posexplode("_x").alias("_p", "_a"))
+    return heads.select("_a", "_w", F.explode(F.when(F.col("_same"), F.slice("_x", F.col("_p") + 2, F.size("_x"))).otherwise(F.col("_y"))).alias("_z"))
+
+
 def item_pairs(df: DataFrame, record: str, item: str, min_support: int = 1, min_lift: float = 0.0, long_basket: int = LONG_BASKET) -> DataFrame:
     """(id_a, id_b, n_ab, n_a, n_b, n_records, lift, conviction) with id_a < id_b.
 
@@ -50,11 +65,8 @@ def item_pairs(df: DataFrame, record: str, item: str, min_support: int = 1, min_
     kept = rows.join(wanted.select("_i"), "_i", "left_semi")
     sets = kept.groupBy("_r").agg(F.array_sort(F.collect_list("_i")).alias("_b")).where(F.size("_b") > 1)
     weighed = sets.groupBy("_b").agg(F.count(F.lit(1)).alias("_w"))
-    heads = weighed.select("_b", "_w", F.posexplode("_b").alias("_p", "_a")).where(F.col("_p") < F.size("_b") - 1)
-    short = heads.where(F.size("_b") <= long_basket)
-    # A long basket is sent on as (head, tail) rows spread by head, so that its pairs are made by many tasks.
-    long = heads.where(F.size("_b") > long_basket).repartition("_a", "_p")
-    pairs = short.unionByName(long).select("_a", "_w", F.explode(F.slice("_b", F.col("_p") + 2, F.size("_b"))).alias("_z"))
+    short = weighed.where(F.size("_b") <= long_basket).select("_w", F.col("_b").alias("_x"), F.col("_b").alias("_y"), F.lit(True).alias("_same"))
+    pairs = _enumerated(short.unionByName(_block_pairs(weighed.where(F.size("_b") > long_basket), long_basket)))
     summed = pairs.groupBy(F.col("_a").alias("id_a"), F.col("_z").alias("id_b")).agg(F.sum("_w").alias("n_ab")).where(F.col("n_ab") >= min_support)
     total = F.lit(n).cast("long")
     scored = (

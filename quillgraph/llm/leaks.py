@@ -13,8 +13,13 @@ are of that size, and the method is lossless for every passage asked for:
    and sentence name a region of the text.
 4. A region is decided by exact word alignment (edit distance over all spans of the sentence).
 
-The evaluation set is stated data: it goes to the executors in blocks of at most ``BLOCK_WORDS``
-words, one pass over the corpus per block, so what is sent is bounded whatever its size.
+The windows have 4 words and not the size of an item, because two edits in 12 words move a 64-bit
+SimHash by about 12 bits; blocks for that radius would be of four or five bits and select nothing.
+Of windows that are intact, the fingerprints are equal: radius 3 adds candidates, no passages.
+
+The evaluation set is stated data. It is read in blocks of about ``BLOCK_WORDS`` words, one pass over
+the corpus per block; what a block finds is written before the next one is read, so driver and
+executors hold one block, whatever the size of the set.
 
 Words are compared without case, accents (umlauts also spelled out), punctuation and mark-up.
 Defined results: null, empty and blank texts hold nothing; null items, paragraphs and sentences are
@@ -34,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut, spread
 from .metricjoin import objects
 
 MIN_WORDS = 12
@@ -47,7 +52,7 @@ WORK_WORDS = 40_000
 #: Weighted share of words that two candidate windows must have in common.
 SHINGLE_SHARE = 0.7
 
-_MARKUP = re.compile(r"<[^<>]{1,200}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});|\[\d{1,4}\]|\]\([^()\s]{1,300}\)|[\u00ad\u200b-\u200f\u2060\ufeff]")
+_MARKUP = re.compile(r"<[/!?a-zA-Z][^<>]*>|&(?:[a-zA-Z]{2,8}|#\d{1,6});|\[\d{1,4}\]|\]\([^()\s]+\)|[\u00ad\u200b-\u200f\u2060\ufeff]")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑]\s*\n?\s*(?=[^\W\d_])")
 _ACCENT = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u0610-\u061a\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 _WORD = re.compile(r"[^\W_]+")
@@ -229,27 +234,32 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame) -> DataFra
 
     ``items`` has ``item_id`` and ``sentence``; it is the stated evaluation set.
     """
+    texts = spread(docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id string"
+    out = None
+    for block, more in _blocks_of(items):
+        got = texts.mapInPandas(_scan(block), schema)
+        got = cut(got) if more else got  # found and written before the next block is read
+        out = got if out is None else out.unionByName(got)
+    return out.distinct()
+
+
+def _blocks_of(items: DataFrame) -> Iterator[tuple[list, bool]]:
+    """Sentences with their items in blocks of about ``BLOCK_WORDS`` words, and whether more follow; the driver holds one block."""
     rows = items.where("item_id IS NOT NULL AND sentence IS NOT NULL").select("item_id", "sentence").distinct().toLocalIterator()
     by: dict[tuple[str, ...], set[str]] = {}
-    blocks: list[dict] = [by]
     size = 0
+    done = lambda: sorted((list(ws), sorted(i)) for ws, i in by.items())
     for r in rows:
         ws = tuple(words(r["sentence"]))
         if len(ws) < MIN_WORDS:
             continue
         if size > BLOCK_WORDS:
+            yield done(), True
             by, size = {}, 0
-            blocks.append(by)
         size += 0 if ws in by else len(ws)
         by.setdefault(ws, set()).add(r["item_id"])
-    texts = spread(docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id string"
-    out = None
-    for block in blocks:
-        sentences = sorted((list(ws), sorted(i)) for ws, i in block.items())
-        got = texts.mapInPandas(_scan(sentences), schema)
-        out = got if out is None else out.unionByName(got)
-    return out.distinct()
+    yield done(), False
 
 
 _INDEXES: dict[int, Index] = {}

@@ -5,16 +5,18 @@ exactly one capacity and a rest; every other text stays whole.
 
 1. Items are dealt to partitions of about ``PART_ITEMS`` items by a hash of their key, and each
    partition is packed by best-fit decreasing.
-2. A dual-feasible-function bound certifies each partition: no packing of its items can use fewer
-   containers than the greatest bound over several dual feasible functions.
-3. What is left to gain lies in containers that are not nearly full, and in partitions whose count
-   exceeds their bound. Their items are exchanged: pooled over all partitions, dealt anew to far
-   fewer partitions, and packed again. Nearly full containers of certified partitions are closed.
-4. Rounds end when one partition holds the whole pool, or the count meets the bound of all items.
+2. Dual-feasible-function bounds certify each partition: it closes the greatest number k of its
+   fullest containers for which the bound of the items in them is k, so that no packing whatever puts
+   these items into fewer. A partition whose count meets its bound closes all its containers, but for
+   one that is not nearly full; one with a gap keeps open those beyond what the bound certifies.
+3. The items of open containers are exchanged: pooled over all partitions, dealt anew to far fewer
+   partitions, and packed again.
+4. Rounds end when the count of a round meets the dual-feasible bound of all its items, or one
+   partition holds the whole pool.
 
 A round moves only the items of open containers, so the rounds after the first handle a small and
 falling share. No partition ever holds more than its dealt share; nothing is gathered at the driver
-but counts.
+but counts, and the number of items of each size, of which there are at most ``capacity``.
 
 Defined results: null, empty and all-blank texts that give no token need no container and give no
 row; repeated rows of one doc_id count once; equal sizes are taken in key order, so a rerun gives
@@ -37,10 +39,10 @@ from ..session import cut, once_per, spread
 from .metricjoin import objects
 
 CAPACITY = 2048
-PART_ITEMS = 20_000
+PART_ITEMS = 4096
 #: Later rounds deal the pool to this many times fewer partitions.
 FEWER = 16
-#: A container filled to this share is nearly full.
+#: A container filled to this share is nearly full and not worth an exchange.
 NEARLY = 0.995
 #: Folder of the public tokenizers' files.
 TOKENIZER = os.environ.get("QUILL_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
@@ -48,20 +50,24 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str):
+def _encoding(table: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, table.splitlines())}
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, tokens) of every text with at least one character that is not blank."""
+    """(doc_id, tokens) of every text with at least one character that is not blank.
+
+    The tokenizer's file (below 1 MB) is read here, once, and broadcast, so executors need none.
+    """
     typ = docs.schema["doc_id"].dataType.simpleString()
+    with open(tokenizer, "rb") as f:
+        table = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoding(tokenizer)
+        enc = _encoding(table.value)
         for df in batches:
             yield objects(doc_id=df["doc_id"].tolist(), tokens=np.array([len(enc.encode_ordinary(t)) for t in df["text"]], np.int64))
 
@@ -121,15 +127,42 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+def certified(sizes: np.ndarray, box: np.ndarray, fill: np.ndarray, capacity: int) -> np.ndarray:
+    """The fullest containers, as many as a dual-feasible bound shows to be needed for the items in them.
+
+    The sum bound shows it as long as the empty space adds up to less than one container; beyond
+    that the greatest of the bounds is asked, first for all containers, then by halving.
+    """
+    order = np.argsort(-fill, kind="stable")
+    place = np.empty(len(fill), np.int64)
+    place[order] = np.arange(len(fill))
+    shows = lambda k: lower_bound(sizes[place[box] < k], capacity) >= k
+    low = int(np.searchsorted(np.cumsum(capacity - fill[order]), capacity, side="left"))
+    if low < len(fill):
+        if shows(len(fill)):
+            low = len(fill)
+        high = len(fill)
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if shows(mid) else (low, mid)
+    return order[:low]
+
+
 def _pack(capacity: int):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["doc_id", "piece"], kind="stable")
         sizes = g["tokens"].to_numpy(np.int64)
         box = best_fit_decreasing(sizes, capacity)
         fill = np.bincount(box, weights=sizes).astype(np.int64)
+        kept = certified(sizes, box, fill, capacity)
+        if len(kept) and fill[kept[-1]] < NEARLY * capacity:
+            kept = kept[:-1]  # the emptiest may yet take items of other partitions
+        closed = np.zeros(len(fill), bool)
+        closed[kept] = True
+        n = len(g)
         return objects(
-            doc_id=g["doc_id"].tolist(), piece=g["piece"].to_numpy(np.int32), tokens=sizes, part=g["part"].to_numpy(np.int64), box=box, fill=fill[box],
-            boxes=np.full(len(g), len(fill), np.int64), bound=np.full(len(g), lower_bound(sizes, capacity), np.int64),
+            doc_id=g["doc_id"].tolist(), piece=g["piece"].to_numpy(np.int32), tokens=sizes, part=g["part"].to_numpy(np.int64), box=box, fill=fill[box], closed=closed[box],
+            n_closed=np.full(n, len(kept), np.int64), closed_bound=np.full(n, lower_bound(sizes[closed[box]], capacity), np.int64), boxes=np.full(n, len(fill), np.int64), bound=np.full(n, lower_bound(sizes, capacity), np.int64),
         )
 
     return run
@@ -138,8 +171,8 @@ def _pack(capacity: int):
 def containers(sizes: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS, max_rounds: int = 12) -> DataFrame:
     """(doc_id, tokens) -> (doc_id, piece, tokens, container, fill, round, part_boxes, part_bound).
 
-    ``piece`` is 0 for whole texts and for the first piece of a cut one. ``part_boxes`` and
-    ``part_bound`` certify the partition in which the container was closed.
+    ``piece`` is 0 for whole texts and for the first piece of a cut one. ``part_boxes`` containers
+    were closed in this partition and round, and no packing of their items needs fewer than ``part_bound``.
     """
     typ = sizes.schema["doc_id"].dataType.simpleString()
     n_full = F.floor(F.col("tokens") / capacity).cast("int")
@@ -151,7 +184,7 @@ def containers(sizes: DataFrame, capacity: int = CAPACITY, part_items: int = PAR
     n = pool.count()
     done = full
     n_parts = max(1, -(-n // part_items))
-    schema = f"doc_id {typ}, piece int, tokens bigint, part bigint, box bigint, fill bigint, boxes bigint, bound bigint"
+    schema = f"doc_id {typ}, piece int, tokens bigint, part bigint, box bigint, fill bigint, closed boolean, n_closed bigint, closed_bound bigint, boxes bigint, bound bigint"
     for r in range(1, max_rounds + 1):
         if n == 0:
             break
@@ -159,23 +192,28 @@ def containers(sizes: DataFrame, capacity: int = CAPACITY, part_items: int = PAR
         packed = cut(dealt.groupBy("part").applyInPandas(_pack(capacity), schema))
         last = n_parts == 1 or r == max_rounds
         if not last:
-            # The bound of the whole pool: if the partitions together meet it, nothing can be gained.
-            t = packed.agg(F.sum("tokens").alias("s"), F.count_distinct("part", "box").alias("b")).first()
-            last = t["b"] <= -(-t["s"] // capacity)
-        closed = F.lit(True) if last else F.col("fill") >= NEARLY * capacity
+            # The bound of all items of the round: partitions that meet it together have nothing to gain.
+            hist = np.zeros(capacity + 1, np.int64)
+            for row in packed.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).collect():  # a row per size, at most ``capacity``
+                hist[row["tokens"]] = row["n"]
+            used = packed.select("part", "boxes").distinct().agg(F.sum("boxes")).first()[0]
+            last = used <= histogram_bound(hist, capacity)
+        closed = F.lit(True) if last else F.col("closed")
+        boxes, bound = (F.col(x if last else y) for x, y in (("boxes", "n_closed"), ("bound", "closed_bound")))
         done = done.unionByName(
-            packed.where(closed).select("doc_id", "piece", "tokens", F.concat_ws("-", F.lit(r), "part", "box").alias("container"), "fill", F.lit(r).alias("round"), F.col("boxes").alias("part_boxes"), F.col("bound").alias("part_bound"))
+            packed.where(closed).select("doc_id", "piece", "tokens", F.concat_ws("-", F.lit(r), "part", "box").alias("container"), "fill", F.lit(r).alias("round"), boxes.alias("part_boxes"), bound.alias("part_bound"))
         )
         if last:
             break
         pool = packed.where(~closed).select("doc_id", "piece", "tokens")
         n = pool.count()
-        n_parts = max(1, min(-(-n_parts // FEWER), -(-n // part_items)) if n <= part_items * n_parts // 2 else -(-n // part_items))
+        n_parts = max(1, min(-(-n_parts // FEWER), -(-n // part_items)))
     return done
 
 
 def packing_certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: items, containers, tokens, the dual-feasible lower bound over all items, the gap and the share filled.
+    """One row: items, containers, tokens, the dual-feasible lower bound over all items, the gap, the share filled, rounds, and
+    of the partitions that closed containers (one per round and partition) how many there are and how many are certified.
 
     The bound over all items needs only the number of items per size, which has at most
     ``capacity`` rows however many items there are.
@@ -190,5 +228,8 @@ def packing_certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFram
 
     low = hist.coalesce(1).mapInPandas(bound, "lower_bound bigint")
     tot = packed.agg(F.count(F.lit(1)).alias("items"), F.count_distinct("container").alias("containers"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    parts_ = packed.where("round > 0").select("round", F.split("container", "-")[1].alias("part"), "part_boxes", "part_bound").distinct()
+    seen = parts_.agg(F.coalesce(F.max("round"), F.lit(0)).alias("rounds"), F.count(F.lit(1)).alias("partitions"), F.count_if(F.col("part_boxes") <= F.col("part_bound")).alias("certified"))
+    tot = tot.withColumn("_k", F.lit(1)).join(seen.withColumn("_k", F.lit(1)), "_k").drop("_k")
     both = tot.withColumn("_k", F.lit(1)).join(low.withColumn("_k", F.lit(1)), "_k").drop("_k")
     return both.withColumn("gap", F.col("containers") - F.col("lower_bound")).withColumn("filled", F.col("tokens") / (F.greatest("containers", F.lit(1)) * capacity))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut, table
 from .cooccurrence import item_pairs
 from .leaks import context_sentences, leaked
 from .names import same_names, same_pairs
@@ -77,9 +77,9 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers used, against the lower bound over all items."""
-    df = packing_certificate(p6_containers(spark, sf_dir))
-    return df.select("items", "containers", "tokens", "lower_bound", "gap", _six("filled"))
+    """Containers used, against the lower bound over all items, and the partitions that the bound certifies."""
+    df = packing_certificate(cut(p6_containers(spark, sf_dir)))
+    return df.select("items", "containers", "tokens", "lower_bound", "gap", _six("filled"), "rounds", "partitions", "certified")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,6 +141,16 @@ def test_leaks(spark):
     assert K.leaked(docs(spark, [(1, SENT)]), "doc_id", "text", spark.createDataFrame([], "item_id string, sentence string")).count() == 0
 
 
+def test_leaks_by_blocks_of_the_evaluation_set(spark, monkeypatch):
+    other = "A second sentence of the set names twelve words or more so that it may leak too"
+    items = spark.createDataFrame([("q1", SENT), ("q2", other), ("q3", SENT)], "item_id string, sentence string")
+    d = docs(spark, [(1, SENT), (2, other), (3, "<a " + "href=x " * 100 + ">" + other), (4, SENT + " " + other)])
+    find = lambda: {(r.doc_id, r.item_id) for r in K.leaked(d, "doc_id", "text", items).collect()}
+    whole = find()
+    monkeypatch.setattr(K, "BLOCK_WORDS", 1)
+    assert find() == whole == {(1, "q1"), (1, "q3"), (2, "q2"), (3, "q2"), (4, "q1"), (4, "q2"), (4, "q3")}
+
+
 def test_leak_accents(spark):
     s = "Der überdauernde Gletscher beschrieb das große Gebäude über dem öden Moor während die schöne Müllerin das Tagebuch las"
     spelled = s.replace("ü", "ue").replace("ö", "oe").replace("ä", "ae").replace("ß", "ss")
@@ -246,6 +256,32 @@ def test_containers(spark):
     assert P.containers(df.limit(0), 100).count() == 0
 
 
+def test_certified_containers():
+    rng = random.Random(4)
+    for _ in range(40):
+        cap = rng.randrange(10, 60)
+        sizes = np.array([rng.randrange(1, cap + 1) for _ in range(rng.randrange(1, 60))])
+        box = P.best_fit_decreasing(sizes, cap)
+        fill = np.bincount(box, weights=sizes).astype(int)
+        kept = P.certified(sizes, box, fill, cap)
+        assert P.lower_bound(sizes[np.isin(box, kept)], cap) == len(kept)
+        if P.lower_bound(sizes, cap) == len(fill):
+            assert len(kept) == len(fill)
+
+
+def test_partitions_with_a_gap_exchange(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, rng.choice([34, 35, 51, 52, 7])) for i in range(600)], "doc_id bigint, tokens bigint")
+    rows = P.containers(df, capacity=100, part_items=60).collect()
+    assert {r.round for r in rows} > {1}
+    last = max(r.round for r in rows)
+    assert all(r.part_boxes <= r.part_bound for r in rows if r.round < last)  # closed early only where the bound shows them to be needed
+    fill = {r.container: r.fill for r in rows}
+    assert len(fill) <= len({r.container for r in P.containers(df, capacity=100, part_items=60, max_rounds=1).collect()})
+    c = P.packing_certificate(spark.createDataFrame(rows), 100).first()
+    assert c.rounds == last and c.partitions >= c.certified > 0
+
+
 def test_token_counts(spark):
     got = {r.doc_id: r.tokens for r in P.token_counts(docs(spark, [(1, "hello world"), (1, "hello world"), (2, ""), (3, " \n"), (4, None), (5, "<|endoftext|>" * 500)])).collect()}
     assert set(got) == {1, 5} and 1 < got[1] < 5 and got[5] > 500
