@@ -413,7 +413,7 @@ def _people(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def same_names(entities: DataFrame, links: DataFrame) -> DataFrame:
     """(key, is_mention, comp): every person and organisation record and unresolved mention with its class.
 
-    A class is named by its least node. Spellings without a letter or digit, and single words of
+    A class is named by one of its spellings. Spellings without a letter or digit, and single words of
     persons, give no row. Null and empty names and aliases are ignored, repeated ones count once, other columns are
     ignored; empty tables give no rows.
     """
@@ -429,7 +429,7 @@ def same_names(entities: DataFrame, links: DataFrame) -> DataFrame:
     first, last = F.when(turned, F.col("after")[0]).otherwise(F.col("ws")[0]), F.when(turned, F.element_at("ws", -1)).otherwise(F.element_at("ws", -1))
     ends = F.array(F.struct(first.alias("w"), F.col("n").alias("f"), F.lit(0).cast("bigint").alias("l")), F.struct(last.alias("w"), F.lit(0).cast("bigint").alias("f"), F.col("n").alias("l")))
     second = F.when(~turned & (F.size("ws") > 2), F.array(F.struct(F.col("ws")[1].alias("w"), F.lit(0).cast("bigint").alias("f"), F.lit(0).cast("bigint").alias("l")))).otherwise(F.array().cast("array<struct<w:string,f:bigint,l:bigint>>"))
-    tokens = cut(persons.select(F.explode(F.concat(ends, second)).alias("e")).select("e.*").where(F.length("w") > 1).groupBy("w").agg(F.sum("f").alias("f"), F.sum("l").alias("l")))
+    tokens = cut(persons.select(F.explode(F.concat(ends, second)).alias("e")).select("e.*").where(F.length("w") > 1).groupBy("w").agg(F.sum("f").alias("f"), F.sum("l").alias("l")).repartition(n))
     stands = stands_for(tokens)
     asked = persons.select("spelling", "kind", F.explode(F.array_distinct(F.filter(F.array(first, last, F.try_element_at("ws", F.lit(2))), lambda w: w.isNotNull() & (F.length(w) > 1)))).alias("w"))
     met = asked.join(stands, "w").groupBy("spelling", "kind").agg(F.collect_list(F.struct("w", "full")).alias("stands"))
@@ -477,19 +477,57 @@ def same_names(entities: DataFrame, links: DataFrame) -> DataFrame:
     reach = met.where(~org & vague).groupBy("pa").agg(F.count_distinct(F.element_at("fb", 1)).alias("n_full"))
     # Whole names that only mentions have are no evidence for each other: they may be persons.
     recorded = profiled.where("block = 'O *' AND NOT mention").select(F.concat_ws("|", "block", "core", F.array_join("full", "/"), "mid").alias("_r")).distinct()
-    whole = met.where("block = 'O *'").select("pa", "pb")
+    whole = met.where("block = 'O *'").select("block", "pa", "pb")
     whole = whole.join(recorded, whole["pa"] == recorded["_r"], "left_semi")
     sure = met.where((org & (F.col("block") != "O *")) | (exact & mid_ok & (F.size("fa") == 1) & (F.size("fb") == 1)))
     single = met.where(~org & vague).join(reach.where("n_full = 1").select("pa"), "pa")
     # Where no full forename is near, initials of the same surname and middle initial meet each other.
     alone = met.where(~org & mid_ok & (F.size("fa") != 1) & (F.size("fb") != 1) & ((F.size("fa") == 0) | (F.size("fb") == 0) | F.arrays_overlap("fa", "fb"))).join(reach.select("pa"), "pa", "left_anti").join(reach.select(F.col("pa").alias("pb")), "pb", "left_anti")
-    edges = sure.select("pa", "pb").union(whole).union(single.select("pa", "pb")).union(alone.select("pa", "pb"))
+    edges = sure.select("block", "pa", "pb").union(whole).union(single.select("block", "pa", "pb")).union(alone.select("block", "pa", "pb"))
+    near_roots = cut(contracted(edges))
     holds = profiled.select("key", "mention", pid.alias("p")).distinct()
-    node = lambda c: F.concat(F.lit("p:"), F.col(c))
-    graph = edges.select(node("pa").alias("a"), node("pb").alias("b")).union(holds.select(F.concat(F.lit("k:"), "key").alias("a"), node("p").alias("b")))
-    comp = components(graph)
-    keys = holds.select("key", "mention").distinct()
-    return keys.join(comp, F.concat(F.lit("k:"), keys["key"]) == comp["node"]).select("key", F.col("mention").alias("is_mention"), "comp")
+    rooted = cut(holds.join(near_roots, holds["p"] == near_roots["node"], "left").select("key", "mention", F.coalesce("root", "p").alias("root")).distinct())
+    # Only keys, and profiles of a split block, that stand under several roots join these; all else is settled.
+    several = lambda df, by: df.join(df.groupBy(by).agg(F.min("root").alias("a"), F.max("root").alias("_z")).where("a <> _z").select(by, "a"), by).select("a", F.col("root").alias("b"))
+    comp = components(several(rooted, "key").union(several(near_roots, "node")))
+    return rooted.join(comp, rooted["root"] == comp["node"], "left").select("key", F.col("mention").alias("is_mention"), F.coalesce("comp", "root").alias("comp")).distinct()
+
+
+#: Edges of a block that one task contracts.
+CONTRACT_ROWS = 100_000
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(block, pa, pb) -> (node, root): each node with the least node that the edges of its task join it to.
+
+    A task takes a block, or a share of one of more than ``CONTRACT_ROWS`` edges; of a shared block, a
+    node may have several roots.
+    """
+    shares = edges.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CONTRACT_ROWS).cast("int").alias("shares"))
+    dealt = edges.join(shares, "block").select("block", F.pmod(F.xxhash64("pa"), F.col("shares")).alias("share"), "pa", "pb").repartition(parts(edges.sparkSession), "block", "share")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up: dict[str, str] = {}
+
+        def top(x: str) -> str:
+            root = x
+            while (y := up.setdefault(root, root)) != root:
+                root = y
+            while up[x] != root:
+                up[x], x = root, up[x]
+            return root
+
+        for df in batches:
+            for a, b in zip(df["pa"].tolist(), df["pb"].tolist()):
+                a, b = top(a), top(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        nodes = list(up)
+        for lo in range(0, len(nodes), 50_000):
+            some = nodes[lo : lo + 50_000]
+            yield objects(node=some, root=[top(x) for x in some])
+
+    return dealt.select("pa", "pb").mapInPandas(run, "node string, root string")
 
 
 def same_pairs(classes: DataFrame) -> DataFrame:
