@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.scalar import digest_bucket, digest_sign, mint_id, normalize_name
+from ..session import cut
+from .fold import STATE
 
 
 def doc_entities(mentions: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -107,20 +112,66 @@ def sparse_vectors(df: DataFrame, key: list[str], text: str, dim: int) -> DataFr
 LINKED = "document_id string, entity_ord int, mention_text string, canonical_id string, entity_type string, score double, is_new boolean"
 
 
-def link_fold(entities: DataFrame, threshold: float = 0.82, top_k: int = 5, dim: int = 384, tie_margin: float = 0.0, tie_break=None) -> DataFrame:
-    """Ordered linking with fuzzy candidates of (document_id, ingest_order, entity_ord, surface, type, context) rows.
+@dataclass(frozen=True)
+class Folded:
+    """Links of a batch, and the keys that it adds to the state."""
+
+    links: DataFrame
+    added: DataFrame
+
 
-    The order matters and state never crosses a type, so each type is folded on its own in
-    (ingest_order, document_id, entity_ord) order. A row with an exact key takes the least id of its
-    block; else the best of the ``top_k`` most similar entities of its type if it reaches the
-    threshold (``tie_break(surface, name, context)`` may decide within the margin); else it is new.
+def fold_batch(entities: DataFrame, state: DataFrame | None = None, threshold: float = 0.82, top_k: int = 5, dim: int = 384, tie_margin: float = 0.0, tie_break=None) -> Folded:
+    """Ordered linking with fuzzy candidates of (document_id, ingest_order, entity_ord, surface, type, context) rows, after those of ``state``.
+
+    The order (ingest_order, document_id, entity_ord) matters and state never crosses a type. The
+    first row of a key, the type with the normalised name, takes the most similar entity of its type if
+    that reaches the threshold (``tie_break(surface, name, context)`` may decide within the margin),
+    else makes a new one; every later row of the key follows it. So only the first rows of keys that
+    the state does not hold are folded in order, each type on its own; all others find their entity by
+    a join, and their score in parallel. ``state`` has a row per key (``fold.STATE``), so a batch that is
+    replayed finds its own keys and gives the same links. ``top_k`` 0 switches fuzzy candidates off.
+
+    Null surfaces and contexts are taken as empty; an empty batch gives no rows.
     """
+    spark = entities.sparkSession
+    rows = entities.select("document_id", F.col("ingest_order").cast("bigint").alias("ingest_order"), F.col("entity_ord").cast("int").alias("entity_ord"), F.coalesce("surface", F.lit("")).alias("surface"), "type", F.coalesce("context", F.lit("")).alias("context"))
+    keyed = rows.withColumn("key", normalize_name("surface"))
+    order = F.struct("ingest_order", "document_id", "entity_ord")
+    first = keyed.groupBy("type", "key").agg(F.min_by(F.struct("document_id", "ingest_order", "entity_ord", "surface", "context"), order).alias("_f")).select("type", "key", "_f.*")
+    held = spark.createDataFrame([], STATE) if state is None else state.select(*StructType.fromDDL(STATE).names)
+    unseen = first.join(held.select("type", "key"), ["type", "key"], "left_anti")
+
+    def fold(g: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        from .fold import fold_keys
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        from .fold import fold_rows
+        return fold_keys(g, old, threshold, top_k, dim, tie_margin, tie_break)
 
-        return fold_rows(g, threshold, top_k, dim, tie_margin, tie_break)
+    added = cut(unseen.groupBy("type").cogroup(held.groupBy("type")).applyInPandas(fold, STATE))
+    known = held.unionByName(added)
+    seeds = known.where("is_new").select("canonical_id", F.col("type").alias("_t"), F.col("context").alias("seed_context"))
+    target = known.select("type", "key", "canonical_id", F.col("document_id").alias("_d"), F.col("entity_ord").alias("_o"), F.col("score").alias("_s"), F.col("is_new").alias("_n"))
+    target = target.join(seeds, (target["type"] == seeds["_t"]) & (target["canonical_id"] == seeds["canonical_id"])).drop("_t", seeds["canonical_id"])
+    met = keyed.join(target, ["type", "key"])
+    opens = (F.col("document_id").eqNullSafe(F.col("_d"))) & (F.col("entity_ord").eqNullSafe(F.col("_o")))
+    asked = met.select("document_id", "entity_ord", F.col("surface").alias("mention_text"), "canonical_id", F.col("type").alias("entity_type"), F.when(opens, F.col("_s")).alias("_s"), (opens & F.col("_n")).alias("is_new"), F.when(~opens, F.col("context")).alias("context"), F.when(~opens, F.col("seed_context")).alias("seed_context"))
 
-    return entities.select("document_id", "ingest_order", "entity_ord", "surface", "type", "context").groupBy("type").applyInPandas(fold, LINKED)
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from .fold import hashed, similarity
+
+        for df in batches:
+            sims = [s if c is None else float(similarity(hashed(c, dim), hashed(x, dim))) for s, c, x in zip(df["_s"], df["context"], df["seed_context"])]
+            yield df.assign(score=pd.Series(sims, index=df.index, dtype="float64"))[["document_id", "entity_ord", "mention_text", "canonical_id", "entity_type", "score", "is_new"]]
+
+    return Folded(asked.mapInPandas(score, LINKED), added)
+
+
+def link_fold(entities: DataFrame, threshold: float = 0.82, top_k: int = 5, dim: int = 384, tie_margin: float = 0.0, tie_break=None) -> DataFrame:
+    """The links of ``fold_batch`` without a state before it."""
+    return fold_batch(entities, None, threshold, top_k, dim, tie_margin, tie_break).links
 
 
+def folded_entities(state: DataFrame) -> DataFrame:
+    """(canonical_id, name, type, aliases): the name as first written, and one spelling for every other key that came to it, in order."""
+    seed = state.where("is_new").select("type", "canonical_id", F.col("surface").alias("name"), F.col("key").alias("_k"))
+    more = state.where("NOT is_new AND key <> ''").groupBy("type", "canonical_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "surface", "key"))), lambda x: x["surface"]).alias("aliases"))
+    return seed.join(more, ["type", "canonical_id"], "left").select("canonical_id", "name", "type", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))

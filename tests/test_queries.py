@@ -8,13 +8,13 @@ import duckdb
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-from quillgraph.plans import core_queries, reference_queries
+from quillgraph.plans import core_queries, reference_queries, store_queries
 from tools_oracle import norm
 
 SF = os.environ.get("QUILL_TEST_SF", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-QUERIES = {**reference_queries.QUERIES, **core_queries.QUERIES}
-ORACLE = {**reference_queries.ORACLE, **core_queries.ORACLE}
+QUERIES = {**reference_queries.QUERIES, **store_queries.QUERIES, **core_queries.QUERIES}
+ORACLE = {**reference_queries.ORACLE, **store_queries.ORACLE, **core_queries.ORACLE}
 
 
 @pytest.fixture(scope="module")

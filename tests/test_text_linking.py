@@ -98,3 +98,98 @@ def test_link_fold_takes_every_mention_of_links(spark, tmp_path):
     got = {(r.document_id, r.entity_ord): r for r in RQ.link_fold(spark, str(tmp_path)).collect()}
     assert sorted(got) == [("d1", 0), ("d1", 1), ("d2", 0)] and got["d1", 0].is_new and got["d1", 1].is_new
     assert got["d2", 0].canonical_id == got["d1", 0].canonical_id != got["d1", 1].canonical_id and not got["d2", 0].is_new and got["d2", 0].score > 0.82
+
+
+def plain_fold(rows, threshold=0.82, top_k=5, dim=384):
+    """The fold row by row: block by key, else the nearest of all entities of the type, else a new one."""
+    from quillgraph.operators import fold as K
+
+    out, keys, ents = {}, {}, {}
+    for doc, _, ord_, surface, typ, context in sorted(rows, key=lambda r: (r[1], r[0], r[2])):
+        vec, key = K.hashed(context, dim), (typ, K.name_key(surface))
+        mine = ents.setdefault(typ, [])
+        if key in keys:
+            cid = keys[key]
+            out[doc, ord_] = (cid, round(K.similarity(vec, dict(mine)[cid]), 9), False)
+            continue
+        met = [(K.similarity(vec, v), -i, c) for i, (c, v) in enumerate(mine) if set(vec) & set(v)] if top_k else []
+        score, _, cid = max(met, default=(0.0, 0, None))
+        new = cid is None or score < threshold
+        if new:
+            import hashlib
+
+            cid = "e-" + hashlib.sha256(f"el:{typ}:{key[1]}".encode()).hexdigest()[:16]
+            mine.append((cid, vec))
+        keys[key] = cid
+        out[doc, ord_] = (cid, round(float(score), 9), new)
+    return out
+
+
+def random_mentions(n, seed):
+    import random
+
+    rng = random.Random(seed)
+    words = ["dock", "mill", "crane", "quarry", "port", "union", "bank", "court"]
+    rows = {}
+    for _ in range(n):
+        doc, ord_ = f"d{rng.randrange(n // 3):03}", rng.randrange(4)
+        surface = " ".join(rng.sample(words, rng.choice([1, 2, 2, 3]))).title()
+        rows[doc, ord_] = (doc, int(doc[1:]) // 2, ord_, surface, rng.choice(["ORG", "ORG", "LAW"]), surface + " " + " ".join(rng.choice(words + ["the", "of"]) for _ in range(rng.randrange(4))))
+    return list(rows.values())
+
+
+MENTIONS = "document_id string, ingest_order bigint, entity_ord int, surface string, type string, context string"
+
+
+def test_fold_equals_row_by_row(spark, monkeypatch):
+    from quillgraph.operators import fold as K
+
+    rows = random_mentions(150, 3)
+    for block, kw in ((512, {}), (512, {"top_k": 0}), (512, {"threshold": 0.6})):
+        monkeypatch.setattr(K, "BLOCK", block)
+        got = {(r.document_id, r.entity_ord): (r.canonical_id, round(r.score, 9), r.is_new) for r in L.link_fold(spark.createDataFrame(rows, MENTIONS), **kw).collect()}
+        assert got == plain_fold(rows, **kw)
+
+
+def test_fold_in_blocks_equals_one_block():
+    import pandas as pd
+
+    from quillgraph.operators import fold as K
+
+    rows = {r[3]: r for r in random_mentions(120, 5) if r[4] == "ORG"}.values()
+    g = pd.DataFrame([(*r, K.name_key(r[3])) for r in rows], columns=["document_id", "ingest_order", "entity_ord", "surface", "type", "context", "key"])
+    none = pd.DataFrame(columns=["canonical_id", "surface", "context", "is_new", "place"])
+    whole = K.fold_keys(g, none, 0.7, 5, 384, 0.0, None)
+    K.BLOCK, old = 3, K.BLOCK
+    try:
+        assert K.fold_keys(g, none, 0.7, 5, 384, 0.0, None).equals(whole) and 0 < whole["is_new"].sum() < len(whole)
+    finally:
+        K.BLOCK = old
+
+
+def test_fold_state_across_batches(spark, tmp_path):
+    from quillgraph.sources.files import KeyedTable
+
+    rows = random_mentions(120, 4)
+    whole = L.fold_batch(spark.createDataFrame(rows, MENTIONS))
+    want = {(r.document_id, r.entity_ord): (r.canonical_id, round(r.score, 9), r.is_new) for r in whole.links.collect()}
+    state = KeyedTable(spark, f"{tmp_path}/state", ["type", "key"], L.STATE, "place")
+    got = {}
+    for batch in range(3):
+        some = spark.createDataFrame([r for r in rows if batch * 7 <= r[1] < batch * 7 + 7 or batch == 2 and r[1] >= 14], MENTIONS)
+        for _ in range(2):  # replayed
+            done = L.fold_batch(some, state.read())
+            links = {(r.document_id, r.entity_ord): (r.canonical_id, round(r.score, 9), r.is_new) for r in done.links.collect()}
+            if done.added.count():
+                state.upsert(done.added, batch)
+        got |= links
+    assert got == want
+    ents = {r.canonical_id: r for r in L.folded_entities(state.read()).collect()}
+    assert set(ents) == {c for c, _, new in want.values() if new} and any(r.aliases for r in ents.values())
+    assert all(r.name not in r.aliases for r in ents.values())
+
+
+def test_fold_nulls_and_empty(spark):
+    got = fold(spark, [("a", 1, 0, None, "ORG", None), ("b", None, 0, "x", None, "x")])
+    assert got["a", 0].mention_text == "" and ("b", 0) not in got or got["b", 0].is_new
+    assert L.link_fold(spark.createDataFrame([], MENTIONS)).count() == 0
