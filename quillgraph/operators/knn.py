@@ -18,15 +18,21 @@ from ..session import parts
 BLOCK = 2048
 
 
-def sparse_knn(queries: DataFrame, rows: DataFrame, k: int, order: list[Column], key: list[str]) -> DataFrame:
+#: Shares into which the rows of a bucket are dealt, so that a frequent word's bucket is no single task.
+SHARES = 16
+
+
+def sparse_knn(queries: DataFrame, rows: DataFrame, k: int, order: list[Column], key: list[str], shares: int = SHARES) -> DataFrame:
     """(qid, key…, score, rank): the k rows of greatest positive cosine per question.
 
     Both sides are (…, bucket, w, norm2) rows with whole-numbered weights, so the equi-join on the
-    bucket sums exactly in any order; a row that shares no bucket has no positive cosine.
+    bucket sums exactly in any order; a row that shares no bucket has no positive cosine. The rows of
+    a bucket are dealt to ``shares`` by their key, and the questions, the stated side, go to each.
     ``order`` breaks ties.
     """
-    q = queries.select("qid", F.col("bucket").alias("_b"), F.col("w").alias("_w"), F.col("norm2").alias("_n"))
-    met = rows.join(q, rows["bucket"] == q["_b"])
+    q = queries.select("qid", F.col("bucket").alias("_b"), F.col("w").alias("_w"), F.col("norm2").alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_g"))
+    dealt = rows.withColumn("_h", F.pmod(F.xxhash64(*key), F.lit(shares)).cast("int"))
+    met = dealt.join(q, (dealt["bucket"] == q["_b"]) & (dealt["_h"] == q["_g"]))
     dots = met.groupBy("qid", *key).agg(F.sum(F.col("w") * F.col("_w")).alias("_dot"), F.max("norm2").alias("_n1"), F.max("_n").alias("_n2")).where("_dot > 0")
     scored = dots.select("qid", *key, (F.col("_dot") / F.sqrt((F.col("_n1") * F.col("_n2")).cast("double"))).alias("score"))
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), *order)
@@ -68,24 +74,20 @@ def scan_knn(questions: DataFrame, rows: DataFrame, k: int, key: list[str], dim:
                     lens = np.asarray(pa.compute.list_value_length(piece.column("buckets")))
                     m = np.zeros((piece.num_rows, dim), np.float32)
                     m[np.repeat(np.arange(piece.num_rows), lens), np.asarray(piece.column("buckets").flatten())] = np.asarray(piece.column("weights").flatten())
-                    dots = (m @ qm).astype(np.float64)
-                    sim = dots / np.sqrt(np.asarray(piece.column("norm2"), np.float64)[:, None] * qn[None, :])
-                    keys = [piece.column(c).to_pylist() for c in key]
-                    order = sorted(range(piece.num_rows), key=lambda i: tuple(c[i] for c in keys))
-                    rank = np.empty(piece.num_rows, np.int64)
-                    rank[order] = np.arange(piece.num_rows)
-                    cols: dict[str, list] = {"qid": [], **{c: [] for c in key}, "score": []}
-                    for j in range(len(ids)):
-                        s = sim[:, j]
-                        best = np.flatnonzero(s > 0)
-                        if len(best) > k:
-                            best = best[s[best] >= -np.partition(-s[best], k - 1)[k - 1]]
-                            best = best[np.lexsort((rank[best], -s[best]))[:k]]
-                        for i in best:
-                            cols["qid"].append(ids[j]), cols["score"].append(float(s[i]))
-                            for c, values in zip(key, keys):
-                                cols[c].append(values[i])
-                    yield pa.RecordBatch.from_pydict(cols, schema=arrow)
+                    dots = (m @ qm).astype(np.float64).T
+                    sim = dots / np.sqrt(np.asarray(piece.column("norm2"), np.float64)[None, :] * qn[:, None])
+                    keep = sim > 0
+                    if piece.num_rows > k:
+                        keep &= sim >= np.partition(sim, piece.num_rows - k, axis=1)[:, piece.num_rows - k, None]
+                    for j in np.flatnonzero(keep.sum(1) > k):  # ties at the k-th place: the smaller keys stay
+                        best = np.flatnonzero(keep[j])
+                        keys = [piece.column(c).take(pa.array(best)).to_pylist() for c in key]
+                        order = sorted(range(len(best)), key=lambda i: (-sim[j, best[i]], *(c[i] for c in keys)))
+                        keep[j, best[order[k:]]] = False
+                    q_at, r_at = np.nonzero(keep)
+                    if len(q_at):
+                        taken = [piece.column(c).take(pa.array(r_at)).cast(arrow.field(c).type) for c in key]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, arrow.field("qid").type).take(pa.array(q_at)), *taken, pa.array(sim[q_at, r_at])], names=arrow.names)
 
         got = rows.select(*key, "buckets", "weights", "norm2").mapInArrow(score, f"qid {qid}, {names}, score double")
         out = got if out is None else out.unionByName(got)
@@ -97,8 +99,9 @@ def dense_knn(queries: DataFrame, rows: DataFrame, k: int, same_group: bool = Fa
     """(qid, key, score, rank): the k rows of greatest cosine per query, ties to the smaller key.
 
     Exact, for a stated query set against all rows. Queries (qid, v[, grp]) and rows (key, v[, grp])
-    are packed into blocks; each pair of blocks is one matrix product that leaves k rows per query,
-    so the intermediate is k per query and row block, never per pair. A query does not find itself.
+    are packed into blocks; the blocks of rows are dealt to groups, each of which the queries' blocks
+    visit. Each meeting of blocks is one matrix product that leaves k rows per query, so the
+    intermediate is k per query and row block, never per pair. A query does not find itself.
     With ``same_group`` only rows of the query's group count. Null and all-zero vectors are left out.
     """
     spark = rows.sparkSession
@@ -129,7 +132,9 @@ def dense_knn(queries: DataFrame, rows: DataFrame, k: int, same_group: bool = Fa
                             out.append((a, ri[j], float(row[j])))
                 yield pd.DataFrame(out, columns=["qid", "key", "score"]).astype(object).astype({"score": "float64"})
 
-    met = q.repartition(parts(spark), "q_block").crossJoin(r).select("q", "r").mapInPandas(meet, f"qid {id_q}, key {id_r}, score double")
+    groups = parts(spark)
+    visits = q.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    met = visits.join(r.withColumn("_g", F.pmod("r_block", F.lit(groups)).cast("int")), "_g").select("q", "r").mapInPandas(meet, f"qid {id_q}, key {id_r}, score double")
     # Equal to the ninth decimal is equal: sums of products round differently by block.
     w = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "key")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -158,9 +158,10 @@ def link_fold(spark, sf):
     """Ordered linking with fuzzy candidates of every mention of links, in the order of first ingest, with the first sentence that holds its text as context."""
     m = link_mentions(spark, sf).select("document_id", F.col("mention_idx").alias("entity_ord"), F.col("text").alias("surface"), "type")
     order = table(spark, sf, "documents").groupBy("document_id").agg(F.min("ingest_order").alias("ingest_order"))
-    s = table(spark, sf, "sentences").select("document_id", "sentence_index", F.col("text").alias("_t"))
-    held = m.join(s, "document_id").where(F.contains("_t", "surface")).groupBy("document_id", "entity_ord").agg(F.min_by("_t", "sentence_index").alias("_t"))
-    rows = m.join(order, "document_id", "left").join(held, ["document_id", "entity_ord"], "left")
+    s = table(spark, sf, "sentences").select(F.col("document_id").alias("_d"), "sentence_index", F.col("text").alias("_t"))
+    # Everything is keyed by the document, so that texts move once.
+    met = m.join(order, "document_id", "left").join(s, (F.col("document_id") == F.col("_d")) & F.contains("_t", "surface"), "left")
+    rows = met.groupBy("document_id", "entity_ord").agg(F.first("ingest_order").alias("ingest_order"), F.first("surface").alias("surface"), F.first("type").alias("type"), F.min_by("_t", "sentence_index").alias("_t"))
     return L.link_fold(rows.select("document_id", "ingest_order", "entity_ord", "surface", "type", F.concat_ws(" ", "surface", "_t").alias("context")))
 
 
@@ -287,7 +288,7 @@ def knn_sentences(spark, sf):
 def knn_entities(spark, sf):
     """The 5 entities whose names are nearest to every question, by an inverted index."""
     q = L.sparse_vectors(_questions(spark, sf), ["qid"], "question", DIM)
-    e = L.sparse_vectors(table(spark, sf, "entities").select("canonical_id", "name"), ["canonical_id"], "name", DIM)
+    e = L.sparse_vectors(spread(table(spark, sf, "entities").select("canonical_id", "name")), ["canonical_id"], "name", DIM)
     return sparse_knn(q, e, 5, [F.col("canonical_id")], ["canonical_id"]).select("qid", "canonical_id", "rank", six("score"))
 
 
