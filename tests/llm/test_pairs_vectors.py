@@ -106,3 +106,21 @@ def test_probe_order():
     assert k.shape == (3, 8, 50) and (V.bucket_keys(u, 8, 1.5, 3, 1, 7)[:, 0] == k[:, 0]).all()
     assert all(len(set(k[t, :, i])) == 8 for t in range(3) for i in range(50))
     assert abs(V.unpack(V.pack(u)) - u).max() < 0.005
+
+
+def test_shapes_of_larger_collections_keep_recall():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1500, 64))
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    # Partners at cosines from 0.85 to 0.97.
+    z = rng.standard_normal((1500, 64))
+    z -= (z * y).sum(1)[:, None] * y
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    c = rng.uniform(0.85, 0.97, 1500)[:, None]
+    w = c * y + np.sqrt(1 - c * c) * z
+    for n in (10**5, 10**6, 3 * 10**6, 10**7, 3 * 10**7, 10**8, 3 * 10**8, 10**9, 10**12):
+        m, tables, probes = V.shape_for(n)
+        a, b = V.bucket_keys(y, m, 1.5, tables, probes, 7), V.bucket_keys(w, m, 1.5, tables, probes, 7)
+        hit = (a == b[:, :1]).any((0, 1)) | (b == a[:, :1]).any((0, 1))
+        assert hit.mean() >= 0.8, (n, hit.mean())
+    assert V.shape_for(10**12) == V.SHAPES[-1]
