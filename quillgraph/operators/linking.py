@@ -136,8 +136,7 @@ def fold_batch(entities: DataFrame, state: DataFrame | None = None, threshold: f
     spark = entities.sparkSession
     rows = entities.select("document_id", F.col("ingest_order").cast("bigint").alias("ingest_order"), F.col("entity_ord").cast("int").alias("entity_ord"), F.coalesce("surface", F.lit("")).alias("surface"), "type", F.coalesce("context", F.lit("")).alias("context"))
     keyed = rows.withColumn("key", normalize_name("surface"))
-    order = F.struct("ingest_order", "document_id", "entity_ord")
-    first = keyed.groupBy("type", "key").agg(F.min_by(F.struct("document_id", "ingest_order", "entity_ord", "surface", "context"), order).alias("_f")).select("type", "key", "_f.*")
+    first = keyed.groupBy("type", "key").agg(F.min(F.struct("ingest_order", "document_id", "entity_ord", "surface", "context")).alias("_f")).select("type", "key", "_f.*")
     held = spark.createDataFrame([], STATE) if state is None else state.select(*StructType.fromDDL(STATE).names)
     unseen = first.join(held.select("type", "key"), ["type", "key"], "left_anti")
 
