@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from ..operators import retrieval as R
 from ..operators.build import build_graph
 from ..operators.knn import dense_knn, scan_knn, sparse_knn
 from ..schemas import LEADING_WORDS, PREDICATE_PHRASES, PREDICATES, Settings
-from ..session import checkpoint_dir, cut, spread, table
+from ..session import cut, scratch, spread, table
 from ..sources import files as files_
 from ..streaming import ingest
 
@@ -414,15 +412,11 @@ def triple_prompts(spark, sf):
     return M.triple_prompts(latest_documents(spark, sf), nodes).select("document_id", F.length("prompt").alias("n"))
 
 
-def _scratch(spark) -> str:
-    return f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
-
-
 def qa_round_trip(spark, sf):
     """The evaluation set written as JSON lines in its loose form and read back."""
     q = table(spark, sf, "qa")
     loose = q.select(F.to_json(F.struct(F.col("id").alias("_id"), "question", "answer", "answer_aliases", F.transform("supporting_facts", lambda f: F.array(f["title"], f["idx"].cast("string"))).alias("supporting_facts"), F.transform("context", lambda c: F.array(c["title"], F.to_json(c["sentences"]))).alias("context"))).alias("value"))
-    at = _scratch(spark)
+    at = scratch(spark)
     loose.coalesce(1).write.text(at)
     raw = spark.read.text(at).select(files_.parse_qa(F.col("value")).alias("q")).select("q.*")
     return raw.select("id", "question", "answer", F.size("answer_aliases").alias("n_aliases"), F.size("supporting_facts").alias("n_facts"), F.size("context").alias("n_context"), F.col("context")[0]["sentences"][0].alias("first_sentence"))
@@ -430,7 +424,7 @@ def qa_round_trip(spark, sf):
 
 def stream_ingest(spark, sf):
     """Every ingest of every document as a trigger stream, upserted in micro-batches; the table at the end."""
-    at = _scratch(spark)
+    at = scratch(spark)
     docs = table(spark, sf, "documents")
     ingest.publish(docs.select("bucket", "object_key", F.col("ingest_order").alias("seq")).repartition(4), f"{at}/triggers")
     objects = docs.select("bucket", "object_key", F.col("ingest_order").alias("seq"), "n_chars")
@@ -447,7 +441,7 @@ def stream_ingest(spark, sf):
 
 def stream_build(spark, sf):
     """The same stream, each micro-batch built from text to graph; a document that comes again brings its nodes and edges in place of the old ones. The edges at the end, with the names of their ends as the last document wrote them."""
-    at = _scratch(spark)
+    at = scratch(spark)
     docs = table(spark, sf, "documents")
     ingest.publish(docs.select("bucket", "object_key", F.col("ingest_order").alias("seq")).repartition(4), f"{at}/triggers")
     objects = docs.select("bucket", "object_key", F.col("ingest_order").alias("seq"), "text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -18,11 +18,11 @@ from ..operators import models as M
 from ..operators import retrieval as R
 from ..operators import store as T
 from ..schemas import PREDICATES
-from ..session import cut, table
+from ..session import cut, scratch, table
 from ..sources import files as files_
 from ..streaming import ingest
 from . import reference_queries as RQ
-from .reference_queries import _scratch, all_nodes, latest_documents, six
+from .reference_queries import latest_documents, six
 
 # --- evaluation --------------------------------------------------------------------------------
 
@@ -65,7 +65,7 @@ def entity_store(spark, sf):
     """Entities written once, and those with aliases a second time under their first alias, as the store keeps them."""
     e = table(spark, sf, "entities").select("canonical_id", "name", "type", "aliases", "vector", F.lit(1).alias("seq"))
     again = e.where("aliases IS NOT NULL AND size(aliases) > 0").withColumn("name", F.col("aliases")[0]).withColumn("seq", F.lit(2))
-    store = files_.KeyedTable(spark, f"{_scratch(spark)}/entities", ["canonical_id"], T.ENTITY_RECORD, "seq")
+    store = files_.KeyedTable(spark, f"{scratch(spark)}/entities", ["canonical_id"], T.ENTITY_RECORD, "seq")
     for batch, rows in enumerate((e, again, again)):  # the last batch is written twice
         store.upsert(T.entity_records(rows, "seq"), min(batch, 1))
     return store.read().select("canonical_id", "name", "normalized_name", "type", F.array_join("aliases_normalized", "|").alias("aliases"), F.coalesce(F.size("vector"), F.lit(-1)).alias("width"))
@@ -88,7 +88,7 @@ def graph_checkpoint(spark, sf):
     """Co-occurrence edges of all documents written in one batch; documents that were ingested again bring their stored edges in the next, which is replayed."""
     links, docs, sents = (table(spark, sf, t) for t in ("links", "documents", "sentences"))
     nodes = T.node_records(links, docs)
-    store = T.GraphStore(spark, _scratch(spark))
+    store = T.GraphStore(spark, scratch(spark))
     once = docs.groupBy("document_id").agg(F.min("ingest_order").alias("ingest_order"), F.count(F.lit(1)).alias("n"), F.max("ingest_order").alias("last"))
     store.checkpoint(once, nodes, G.cooccurrence_edges(links, sents), 0)
     again = once.where("n > 1").select("document_id", F.col("last").alias("ingest_order"))
@@ -120,7 +120,7 @@ def checked_edges(spark, sf):
 
 def stream_link(spark, sf):
     """Documents in micro-batches, their mentions linked in order against the entities of all batches before; a row per key that was met."""
-    at = _scratch(spark)
+    at = scratch(spark)
     docs = latest_documents(spark, sf)
     last = docs.agg(F.max("ingest_order")).first()[0] or 0
     state = files_.KeyedTable(spark, f"{at}/state", ["type", "key"], L.STATE, "place")
@@ -164,14 +164,14 @@ def _shown(q: DataFrame) -> DataFrame:
 
 def read_qa_lines(spark, sf):
     """The evaluation set from a file of JSON lines in a folder, blank lines between them."""
-    at = _scratch(spark)
+    at = scratch(spark)
     _one_file(_loose(table(spark, sf, "qa")).select(F.concat("value", F.lit("\n")).alias("value")), at, "b.jsonl")
     return _shown(files_.read_qa(spark, at))
 
 
 def read_qa_array(spark, sf):
     """The evaluation set from a JSON array, the first file of a folder by name."""
-    at = _scratch(spark)
+    at = scratch(spark)
     whole = _loose(table(spark, sf, "qa")).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "value"))), lambda x: x["value"]), ","), F.lit("]")).alias("value"))
     _one_file(whole, at, "a.json")
     _one_file(spark.range(1).select(F.lit("{}").alias("value")), at, "b.json")
@@ -180,7 +180,7 @@ def read_qa_array(spark, sf):
 
 def read_corpus(spark, sf):
     """A folder of Markdown files, one per nation, and a README that is no document."""
-    at = _scratch(spark)
+    at = scratch(spark)
     for r in table(spark, sf, "nation").select("n_name", "n_regionkey").collect():  # 25 rows
         _one_file(spark.range(1).select(F.lit(f"# {r['n_name']}\n\nRegion {r['n_regionkey']}").alias("value")), at, f"{r['n_name']}.md")
     _one_file(spark.range(1).select(F.lit("read me").alias("value")), at, "README.md")
@@ -189,7 +189,7 @@ def read_corpus(spark, sf):
 
 def object_get(spark, sf):
     """Objects of a bucket as triggers ask for them: found with their text, or missing."""
-    at = _scratch(spark)
+    at = scratch(spark)
     for r in table(spark, sf, "region").select("r_regionkey", "r_name").collect():  # 5 rows
         _one_file(spark.range(1).select(F.lit(r["r_name"]).alias("value")), f"{at}/bucket", f"r{r['r_regionkey']}.txt")
     asked = table(spark, sf, "nation").select(F.lit("bucket").alias("bucket"), F.concat(F.lit("r"), (F.col("n_regionkey") + F.col("n_nationkey") % 2 * 3).cast("string"), F.lit(".txt")).alias("object_key"))

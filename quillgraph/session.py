@@ -9,6 +9,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,7 @@ def local_session(cpus: int = 8, app: str = "quillgraph") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("QUILL_DRIVER_MEMORY", "8g"))
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -55,13 +57,31 @@ def _own_folder() -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared folder: survives the loss of any executor."""
+    """Cut lineage by a reliable checkpoint in the shared folder: survives the loss of any executor.
+
+    Where the session has spark.cleaner.referenceTracking.cleanCheckpoints, a checkpoint goes once nothing refers to it.
+    """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder beside the checkpoints, for files that a result is read from; it goes when the process ends."""
+    at = f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, at)
+    return at
+
+
+def _remove(spark: SparkSession, at: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the JVM is gone
+        shutil.rmtree(at, ignore_errors=True)
+
+
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions of the session, the unit in which Python stages are spread out."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
