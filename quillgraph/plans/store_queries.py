@@ -285,6 +285,10 @@ _EVALUATED = (
     .replace("pf AS (SELECT DISTINCT id, c.title AS title, 0 AS idx FROM (SELECT id, unnest(context) AS c FROM qa))", "pf AS (SELECT DISTINCT qid AS id, title, sentence_index AS idx FROM sknn JOIN documents d ON d.document_id = sknn.document_id)")
     + ", ev9 AS (SELECT sc.id, sc.prediction, CASE WHEN sc.prediction IS NULL THEN 0.0 ELSE em END AS em, CASE WHEN sc.prediction IS NULL THEN 0.0 ELSE token_f1 END AS token_f1, coalesce(sf_precision, 0.0) AS sf_precision, coalesce(sf_recall, 0.0) AS sf_recall, coalesce(sf_f1, 0.0) AS sf_f1 FROM sc LEFT JOIN ft USING (id))"
 )
+_RETRIEVED = f"""{RQ._RETRIEVE}, {RQ._hash('sv', 'sentences', 'document_id, sentence_index', 'text')}, {_SDOTS},
+tt AS (SELECT title, coalesce(nullif(trim(regexp_replace(title, '[^\\p{{L}}\\p{{N}}_.\\-]+', '_', 'g'), '_'), ''), 'untitled') || '.txt' AS object_key FROM (SELECT DISTINCT unnest(context).title AS title FROM qa)), pr AS (""" + _EVALUATED.split(", pr AS (", 1)[1].replace(
+    "SELECT DISTINCT qid AS id, title, sentence_index AS idx FROM sknn JOIN documents d ON d.document_id = sknn.document_id", "SELECT DISTINCT qid AS id, title, sentence_index AS idx FROM sknn JOIN (SELECT DISTINCT document_id, object_key FROM documents) d ON d.document_id = sknn.document_id JOIN tt USING (object_key)"
+)
 _FIRST_NAMES = "fn AS (SELECT document_id, canonical_id, mention_text AS name, entity_type AS type FROM links WHERE canonical_id IS NOT NULL AND document_id IS NOT NULL AND entity_type <> 'DATE' QUALIFY row_number() OVER (PARTITION BY document_id, canonical_id ORDER BY entity_ord, mention_text, entity_type) = 1)"
 _NODE_RECORDS = f"""nl AS (SELECT DISTINCT l.document_id, canonical_id, entity_ord, mention_text, entity_type, o.seq FROM links l JOIN (SELECT document_id, max(ingest_order) AS seq FROM documents GROUP BY 1) o ON o.document_id = l.document_id WHERE canonical_id IS NOT NULL AND entity_type <> 'DATE' AND mention_text IS NOT NULL),
 nw AS (SELECT canonical_id, document_id, seq FROM (SELECT DISTINCT canonical_id, document_id, seq FROM nl) QUALIFY row_number() OVER (PARTITION BY canonical_id ORDER BY seq DESC, document_id DESC) = 1),
@@ -302,6 +306,8 @@ ORACLE = {
     + " SELECT 'subset: full' || chr(10) || 'questions: ' || count(*) || chr(10) || 'documents: ' || (SELECT count(*) FROM documents) || chr(10) || 'calls: 0' || chr(10) || "
     + " || chr(10) || ".join(f"'{c}: ' || printf('%.4f', avg({c})::DOUBLE)" for c in H.METRICS)
     + " AS report FROM ev9",
+    "retrieved_metrics": _RETRIEVED + " SELECT count(*) AS questions, " + ", ".join(f"{RQ._six(f'avg({c})')} AS {c}" for c in H.METRICS) + " FROM ev9",
+    "triple_prompts": f"WITH {RQ._LATEST}, {_FIRST_NAMES}, {_IDS.replace(' WHERE name IS NOT NULL', '')}, p AS (SELECT l.document_id, {_ASK.replace('|| ids', '|| coalesce(ids, chr(0))').replace('chr(0)', repr(''))} AS prompt FROM latest l JOIN ei ON ei.document_id = l.document_id) SELECT document_id, length(prompt) AS n FROM p",
     "qa_corpus": f"WITH {_QC} SELECT document_id, object_key, title, text FROM documents",
     "sentence_endpoints": f"""WITH {_FIRST_NAMES}, sq AS (SELECT document_id, document_id || '#' || sentence_index AS qid, string_split({_n('text')}, ' ') AS q FROM sentences),
 nw AS (SELECT document_id, canonical_id, name, unnest(list_distinct(string_split({_n('name')}, ' '))) AS x FROM fn WHERE name IS NOT NULL),
