@@ -1,7 +1,11 @@
+import gc
 import itertools
 import math
 import random
+import threading
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -124,3 +128,49 @@ def test_shapes_of_larger_collections_keep_recall():
         hit = (a == b[:, :1]).any((0, 1)) | (b == a[:, :1]).any((0, 1))
         assert hit.mean() >= 0.8, (n, hit.mean())
     assert V.shape_for(10**12) == V.SHAPES[-1]
+
+
+def on_disk(dirs):
+    total = 0
+    for d in dirs:
+        for p in Path(d).rglob("*"):
+            try:
+                total += p.stat().st_size if p.is_file() else 0
+            except OSError:
+                pass
+    return total
+
+
+def test_neighbours_bound_their_disk(spark, monkeypatch):
+    """Visits of the probes are many times the vectors; a slice of them at a time is on disk, and slices change nothing."""
+    vecs = cluster(np.random.default_rng(9), 12_000, 4000)
+    vecs = make(spark, [(k, np.rint(v * 64) / 64) for k, v in vecs] + [("copy", np.rint(vecs[0][1] * 64) / 64)]).repartition(4).cache()
+    vecs.count()
+    whole = {(r.key, r.neighbour, r.cosine, r.rank) for r in V.neighbours(vecs, tables=3).collect()}
+    monkeypatch.setattr(V, "SLICE_BYTES", 3e6)
+    monkeypatch.setattr(V, "SLICE_BYTES_EACH", 90)
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+    dirs = [d.getPath() for d in dirs]
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(2)
+    before, peak, over = on_disk(dirs), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.05):
+            peak[0] = max(peak[0], on_disk(dirs))
+
+    t = threading.Thread(target=watch)
+    t.start()
+    got = {(r.key, r.neighbour, r.cosine, r.rank) for r in V.neighbours(vecs, tables=3).collect()}
+    over.set()
+    t.join()
+    assert len(got) > 20_000 and got == whole
+    assert peak[0] - before < 12e6, (before, peak)  # all visits at once: 27 MB
+
+
+def test_squeezed_vectors_are_the_same():
+    rng = np.random.default_rng(2)
+    for v in (rng.standard_normal((50, 64)), np.rint(rng.standard_normal((3000, 64)) * 8) / 8, np.full((1, 64), -0.5), np.zeros((0, 64))):
+        assert (V.unsqueeze(V.squeeze(v), 64) == v).all()
+    assert len(V.squeeze(np.rint(rng.standard_normal((3000, 64)) * 8) / 8)) < 3000 * 70
